@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from loomtext.llm.bpe import op4_bpe
 from loomtext.llm.language_id import op3_language_id
+from loomtext.llm.packing import op2_packing
+from loomtext.llm.pii import op6_pii
 from loomtext.llm.sharding import op9_rendezvous_sharding
+from loomtext.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op9_rendezvous_sharding)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_language_id, op4_bpe, op6_pii, op7_toxicity, op9_rendezvous_sharding)}
 ORACLE_SQL: dict[str, str] = {}
