@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomtext.llm.bpe import op4_bpe
+from loomtext.llm.embedding_dedup import op8_embedding_dedup
 from loomtext.llm.language_id import op3_language_id
 from loomtext.llm.minhash import op5_minhash
 from loomtext.llm.packing import op2_packing
@@ -10,5 +11,5 @@ from loomtext.llm.pii import op6_pii
 from loomtext.llm.sharding import op9_rendezvous_sharding
 from loomtext.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_language_id, op4_bpe, op5_minhash, op6_pii, op7_toxicity, op9_rendezvous_sharding)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_language_id, op4_bpe, op5_minhash, op6_pii, op7_toxicity, op8_embedding_dedup, op9_rendezvous_sharding)}
 ORACLE_SQL: dict[str, str] = {}
