@@ -1,13 +1,65 @@
-"""The corpus pipeline: one stage after another over ``documents``."""
+"""The corpus pipeline: language, toxicity, near-duplicates, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomtext.llm.common import held_out, table
+from loomtext.llm.language_id import UNDETERMINED, fit_prototypes, predict_language
+from loomtext.llm.minhash import near_duplicates
+from loomtext.llm.packing import pack_documents
+from loomtext.llm.pii import redact_documents
+from loomtext.llm.toxicity import fit, score_documents
+
+#: A text of some length that is this far from every learned language is in none of them.
+LEAST_COSINE, SOME_LENGTH = 0.15, 200
+
+#: Classifiers, signatures and tokenizers have no SQL form; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and long ones unlike every learned language."""
+    scored = predict_language(docs, fit_prototypes(docs, key="doc_id"), docs.columns)
+    unlike = (F.col("score") < LEAST_COSINE) & (F.length("text") >= SOME_LENGTH)
+    return scored.where((F.col("lang_pred") != UNDETERMINED) & ~F.coalesce(unlike, F.lit(False))).select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents predicted toxic."""
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)))
+    return score_documents(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near-duplicates (five words, 0.8); of equal rows, one."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the text; n_chars follows."""
+    return redact_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", language), ("toxicity", toxicity), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
