@@ -7,10 +7,11 @@ every allowed choice of wrong places left out, and equal keys meet.  All pairs
 within the radius share a key.  Links are confirmed on the full shingle sets.
 
 Buckets are never expanded into pairs.  First every member meets only its bucket's
-smallest member; confirmed links give components; then only the members of a bucket
-that are still in different components are compared, in blocks, by signature, and
-what is within the radius is confirmed as well.  Pairs left out either lie in one
-component already or are beyond the radius, so components are those of all pairs.
+smallest member; confirmed links give components.  Then only the members of a
+leader's buckets that are still in different components are compared, in blocks of
+bounded size that hold signatures and full sets: pairs within the radius are confirmed
+inside the task, which emits no more than a spanning forest.  Pairs left out either lie
+in one component already or are beyond the radius, so components are those of all pairs.
 """
 
 from __future__ import annotations
@@ -131,19 +132,19 @@ def describe(docs: DataFrame, *, key: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, sig binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, *, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full shingle sets have 100 * |both| >= percent * |either|.
-
-    Sets are made again from the texts, for the documents of the pairs only.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame, *, key: str, text: str, words: int) -> DataFrame:
+    """(id, s): the shingle sets of the documents ``ids``, made again from their whole texts."""
 
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi")
-    made = checkpoint(texts.mapInArrow(sets, "id bigint, s binary").distinct())
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    return texts.mapInArrow(sets, "id bigint, s binary").distinct()
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose full shingle sets have 100 * |both| >= percent * |either|."""
 
     def judge(batches):
         for batch in batches:
@@ -151,7 +152,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, *, key: str, text: str, words: in
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
                 small, large = (x, y) if len(x) < len(y) else (y, x)
-                ok = 100 * len(small) >= percent * len(large)
+                ok = len(small) > 0 and 100 * len(small) >= percent * len(large)
                 if ok:
                     at = np.searchsorted(large, small)
                     both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
@@ -159,41 +160,73 @@ def confirm(pairs: DataFrame, docs: DataFrame, *, key: str, text: str, words: in
                 keep.append(ok)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(made.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    full = left.join(made.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+    full = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
 
 
-def _near_in_blocks(batches):
-    """Pairs within the radius in each block pair; rows come sorted by block pair, whose size is bounded."""
+def _link_in_blocks(percent: int):
+    """Links inside each block pair as a forest; rows come sorted by block pair, whose size is bounded.
+
+    A pair is looked at under the smallest leader that both have, and only while its
+    components are apart.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(rows):
-        ids, comp, n, side = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 5))
-        sig = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), SYMBOLS)
+        own = rows[0][1]
+        ids, comp, n, side = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4, 8))
+        sig = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), SYMBOLS)
+        lower = [{x for x in r[7] if x < own} for r in rows]
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        hashes = [np.frombuffer(r[6], "<u8") for r in rows]
+        lengths = np.array([len(h) for h in hashes])
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        dense = np.unique(np.concatenate(hashes), return_inverse=True)[1].ravel()
+        flag = np.zeros(int(dense.max()) + 1 if len(dense) else 1, bool)
+        _, label = np.unique(comp, return_inverse=True)
+        label = label.ravel()
         a, b = [], []
         for i in left:
-            ok = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+            if not lengths[i] or ids[i] == own:  # the leader has met everyone
+                continue
+            ok = (label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & (ids[right] != own) & (lengths[right] > 0)
             if right is left:
                 ok &= ids[right] > ids[i]
             near = right[ok]
             near = near[(sig[near] != sig[i]).sum(axis=1) <= RADIUS]
-            a += np.minimum(ids[near], ids[i]).tolist()
-            b += np.maximum(ids[near], ids[i]).tolist()
+            if lower[i]:
+                near = near[[lower[i].isdisjoint(lower[j]) for j in near]] if len(near) else near
+            for at in range(0, len(near), 64):
+                some = near[at : at + 64]
+                some = some[label[some] != label[i]]
+                if not len(some):
+                    continue
+                flag[dense[starts[i] : starts[i + 1]]] = True
+                found = flag[np.concatenate([dense[starts[j] : starts[j + 1]] for j in some])]
+                both = np.add.reduceat(found, np.concatenate(([0], np.cumsum(lengths[some])[:-1])), dtype=np.int64)
+                flag[dense[starts[i] : starts[i + 1]]] = False
+                for j in some[100 * both >= percent * (lengths[i] + lengths[some] - both)]:
+                    if label[j] != label[i]:
+                        a.append(int(ids[i]))
+                        b.append(int(ids[j]))
+                        label[label == label[j]] = label[i]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    at, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != at:
-                if len(rows) > 1:
-                    yield compare(rows)
-                at, rows = row[0], []
-            rows.append(row)
-    if len(rows) > 1:
-        yield compare(rows)
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != at:
+                    if len(rows) > 1:
+                        yield compare(rows)
+                    at, rows = row[0], []
+                rows.append(row)
+        if len(rows) > 1:
+            yield compare(rows)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -223,30 +256,27 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # a bucket of one node is no bucket; most go here, before anything is joined
     leaders = keys.groupBy("k").agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size")).where("leader <> most")
     shared = checkpoint(keys.join(leaders.select("k", "leader", "size"), "k"))
-    stars = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    options = {"key": key, "text": text, "words": words, "percent": percent}
+    met = checkpoint(shared.where("id <> leader").select("leader", "id").distinct())
     light = classes.select(F.col("rep").alias("id"), "n", "sig")
-    stars = checkpoint(_plausible(stars, light, percent))
-    links = confirm(stars, docs, **options)
-    first = checkpoint(connected_components(links))
-
-    # what is left: buckets whose members are in more than one component, each set of members once
-    placed = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    member = F.xxhash64("id")
-    open_buckets = (
-        placed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(member).alias("x"), F.sum((member.bitwiseAND(F.lit(0xFFFFFFFF))).cast("bigint")).alias("s"))
-        .where("lo <> hi and size > 2")
-        .groupBy("x", "s", "size").agg(F.min("k").alias("k"))
-    )
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = placed.select("k", "id", "comp").join(open_buckets.select("k", blocks.alias("blocks")), "k").join(light, "id")
-    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-    paired = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = paired.select(
-        F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", "comp", "n", "sig", (F.col("own") > F.col("other")).cast("int").alias("side")
+    stars = checkpoint(_plausible(met.select(F.col("leader").alias("a"), F.col("id").alias("b")), light, percent))
+    sets = checkpoint(full_sets(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key=key, text=text, words=words))
+    first = checkpoint(connected_components(confirm(stars, sets, percent)))
+
+    # what is left: leaders whose members are in more than one component
+    members = met.union(met.select("leader", "leader").distinct())
+    placed = checkpoint(members.join(first.withColumnRenamed("node", "id"), "id", "left").select("leader", "id", F.coalesce("component", "id").alias("comp")))
+    still = placed.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    apart = checkpoint(placed.join(still.select("leader", parts.alias("parts")), "leader"))
+    nodes = apart.groupBy("id").agg(F.collect_set("leader").alias("leaders"))  # one for each key of a signature at most
+    others = full_sets(nodes.select("id").join(sets, "id", "left_anti"), docs, key=key, text=text, words=words)
+    held = nodes.join(light, "id").join(sets.union(others), "id")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
+    paired = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "leader", "id", "comp", (F.col("own") > F.col("other")).cast("int").alias("side")
     )
-    found = paired.repartition("g").sortWithinPartitions("g").mapInArrow(_near_in_blocks, "a bigint, b bigint").distinct()
-    more = confirm(checkpoint(found.join(stars, ["a", "b"], "left_anti")), docs, **options)
+    full = paired.join(held, "id").select("g", "leader", "id", "comp", "n", "sig", "s", "leaders", "side")
+    more = full.repartition("g").sortWithinPartitions("g").mapInArrow(_link_in_blocks(percent), "a bigint, b bigint")
     named = first.withColumnRenamed("node", "id")
     bridges = (
         more.join(named.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
