@@ -39,9 +39,11 @@ _SECRETS = {
     "xoxb-": re.compile(r"xoxb-[A-Za-z0-9-]{20,}(?![A-Za-z0-9])"),
     "AIza": re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9])"),
     "eyJ": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    **{c: re.compile(re.escape(c) + r"[^\s,;\"'<>]{8,}") for c in ("password=", "passwd=", "pwd=", "token=", "secret=", "api_key=", "apikey=")},
     "-----BEGIN ": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"),
 }
+#: What follows a word for a secret: an assignment, perhaps quoted, of a value with a digit.
+_KEYED = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s,;\"'<>]{8,})")
+_KEYS = tuple(v for c in ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key") for v in (c, c.capitalize(), c.upper()))
 _CUES = tuple(v for c in ("account", "acct", "iban", "passport", "ssn", "social security", "customer", "member") for v in (c, c.capitalize(), c.upper()))
 _SCHEMES = frozenset(("http", "https", "ftp", "sftp", "ssh", "git", "postgres", "postgresql", "mysql", "mongodb", "redis", "amqp", "smb"))
 
@@ -58,6 +60,8 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(c, (len(c), c))
     for c in _CUES:
         found.add_word(c, (len(c), "cue"))
+    for c in _KEYS:
+        found.add_word(c, (len(c), "key"))
     found.make_automaton()
     return found
 
@@ -149,6 +153,11 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                     if iban(code) if cue == "iban" else digits == 9 if cue in ("ssn", "social security") else digits >= 5:
                         end["account"] = m.end(1)
                         out["account"].append(m.span(1))
+        elif kind == "key":
+            m = _KEYED.match(text, last + 1) if last + 1 >= end["secret"] else None
+            if m and any(c.isdigit() for c in m.group(1)):
+                end["secret"] = m.end(1)
+                out["secret"].append(m.span(1))
         elif at >= end["secret"] and (at == 0 or not text[at - 1].isalnum()) and (m := _SECRETS[kind].match(text, at)):
             end["secret"] = m.end()
             out["secret"].append(m.span())

@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct hashed n-grams of its folded text.  Each feature
-is multiplied by the log ratio of its smoothed frequencies in toxic and other
-training texts, and a logistic regression is fitted on the scaled features.
+A text's features are the damped counts of the hashed n-grams of its folded text.  Each
+is multiplied by the log ratio of its smoothed shares of the toxic and of the other
+training mass, and a logistic regression is fitted on the scaled features.
 """
 
 from __future__ import annotations
@@ -21,6 +21,11 @@ BITS = 19
 TRAIN_TOXIC = 1200
 TRAIN_OTHER = 2400
 THRESHOLD = 0.7
+SMOOTH = 0.5
+#: Features in fewer training texts, or with a smaller ratio, get no weight.
+LEAST_TEXTS = 5
+LEAST_RATIO = 0.7
+FOLDS = 4
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
 
 
@@ -40,16 +45,14 @@ def features(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-class Distinct:
-    """Distinct values of small integers without sorting."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct features of a text and how often each occurs."""
+    return np.unique(features(text), return_counts=True)
 
-    def __init__(self, size: int):
-        self.last = np.zeros(size, np.int64)
 
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        places = np.arange(len(values))
-        self.last[values] = places
-        return values[self.last[values] == places]
+def damped(counts: np.ndarray) -> np.ndarray:
+    """A count's value as a feature: repeats add ever less."""
+    return np.log2(1 + counts)
 
 
 @dataclass
@@ -59,52 +62,72 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, texts: list[str]) -> list[float]:
-        distinct, out = Distinct(1 << BITS), []
-        for t in texts:
-            z = float(self.weights[distinct(features(t))].sum()) + self.bias
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
-        return out
-
+    def margin(self, found: np.ndarray) -> float:
+        """Weighted sum over features with repeats; those without weight go before the counting."""
+        w = self.weights
+        unique, counts = np.unique(found[w[found] != 0], return_counts=True)
+        return float(w[unique] @ damped(counts)) + self.bias
 
-def train(rows: list[np.ndarray], labels: np.ndarray, *, smooth: float = 1.0, ridge: float = 2e-4, steps: int = 150) -> Model:
-    """Ratios, then logistic regression by gradient descent with momentum on their products; without both classes a constant."""
-    size = 1 << BITS
-    y = np.asarray(labels, np.float64)
-    if not len(y) or y.min() == y.max():
-        mean = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(size, np.float32), float(np.log(mean / (1 - mean))))
-    held = np.arange(len(rows)) % 5 == 4  # for the cut; the rest fits the weights
-    if held.sum() < 20 or y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
-        held[:] = False
-    fitted = np.flatnonzero(~held)
-    counts = np.zeros((2, size))
-    for i in fitted:
-        counts[int(y[i]), rows[i]] += 1
-    n_toxic, n_other = y[fitted].sum(), len(fitted) - y[fitted].sum()
-    ratio = np.log((counts[1] + smooth) / (n_toxic + 2 * smooth)) - np.log((counts[0] + smooth) / (n_other + 2 * smooth))
-    ratio[counts.sum(axis=0) < 3] = 0
-    used = np.flatnonzero(np.abs(ratio) > 0.3)  # features whose ratio says little only slow the fit
-    index = np.full(size, -1, np.int32)
+    def score(self, texts: list[str]) -> list[float]:
+        return [float(1 / (1 + np.exp(-np.clip(self.margin(features(t)), -500, 500)))) for t in texts]
+
+
+def log_count_ratio(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
+    """log of each feature's smoothed share of the toxic mass over its share of the other mass; 0 where it says little."""
+    mass, seen = np.zeros((2, 1 << BITS)), np.zeros(1 << BITS, np.int32)
+    for (f, c), label in zip(rows, y):
+        mass[int(label), f] += damped(c)
+        seen[f] += 1
+    total = np.maximum(mass.sum(axis=1, keepdims=True), 1e-9)
+    share = (mass / total) + SMOOTH / total[1]
+    ratio = np.log(share[1]) - np.log(share[0])
+    ratio[(seen < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    return ratio
+
+
+def fit_weights(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, ridge: float = 2e-4, steps: int = 150) -> np.ndarray:
+    """Logistic regression by gradient descent with momentum on the scaled features; weights for raw counts."""
+    ratio = log_count_ratio(rows, y)
+    used = np.flatnonzero(ratio)
+    index = np.full(1 << BITS, -1, np.int32)
     index[used] = np.arange(len(used), dtype=np.int32)
-    kept = [c[c >= 0] for c in (index[rows[i]] for i in fitted)]
-    cols, rws = np.concatenate(kept), np.repeat(np.arange(len(fitted), dtype=np.int32), [len(c) for c in kept])
-    del kept
-    values, target = ratio[used].astype(np.float32)[cols], y[fitted]
-    balance = np.where(target > 0, 0.5 / target.mean(), 0.5 / (1 - target.mean()))
-    scale = np.float32(1 / np.sqrt(max(1.0, np.bincount(rws, values**2, minlength=len(target)).mean())))
+    kept = [index[f] >= 0 for f, _ in rows]
+    rws = np.repeat(np.arange(len(rows), dtype=np.int32), [int(k.sum()) for k in kept])
+    cols = np.concatenate([index[f[k]] for (f, _), k in zip(rows, kept)])
+    values = np.concatenate([damped(c[k]) for (_, c), k in zip(rows, kept)]).astype(np.float32) * ratio[used].astype(np.float32)[cols]
+    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    scale = np.float32(1 / np.sqrt(max(1.0, np.bincount(rws, values**2, minlength=len(y)).mean())))
     values *= scale
     w, velocity, b, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for _ in range(steps):
-        z = np.clip(np.bincount(rws, w.astype(np.float32)[cols] * values, minlength=len(target)) + b, -500, 500)
-        error = balance * (1 / (1 + np.exp(-z)) - target) / len(target)
+        z = np.clip(np.bincount(rws, w.astype(np.float32)[cols] * values, minlength=len(y)) + b, -500, 500)
+        error = balance * (1 / (1 + np.exp(-z)) - y) / len(y)
         velocity = 0.9 * velocity - 4.0 * (np.bincount(cols, error.astype(np.float32)[rws] * values, minlength=len(used)) + ridge * w)
         vb = 0.9 * vb - 1.0 * error.sum()
         w, b = w + velocity, b + vb
-    weights = np.zeros(size, np.float32)
+    weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w * ratio[used] * scale
-    judged = np.flatnonzero(held) if held.any() else fitted
-    cut = best_cut(np.array([float(weights[rows[i]].sum()) for i in judged]), y[judged])
+    return weights
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
+    """Weights from all rows; the cut comes from rows that a fold's weights have not seen.  Without both classes, a constant."""
+    y = np.asarray(labels, np.float64)
+    if not len(y) or y.min() == y.max():
+        mean = (y.sum() + 1) / (len(y) + 2)
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(mean / (1 - mean))))
+    fold = np.zeros(len(y), np.int32)
+    for label in (0, 1):  # folds share out either class
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    weights = fit_weights(rows, y)
+    unseen = np.zeros(len(y))
+    for k in range(FOLDS):
+        inside = np.flatnonzero(fold != k)
+        part = fit_weights([rows[i] for i in inside], y[inside]) if 0 < y[inside].sum() < len(inside) else weights
+        for i in np.flatnonzero(fold == k):
+            unseen[i] = part[rows[i][0]] @ damped(rows[i][1])
+    cut = best_cut(unseen, y)
     # the cut gets the score THRESHOLD; the slope stretches the fitted margins around it
     return Model(weights * 2, float(np.log(THRESHOLD / (1 - THRESHOLD)) - 2 * cut))
 
@@ -135,16 +158,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     def extract(batches):
         import pyarrow as pa
 
-        distinct = Distinct(1 << BITS)
         for batch in batches:
-            found = [np.sort(distinct(features(t))).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "f"])
+            found = [counted(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f.astype("<u4").tobytes() for f, _ in found], pa.binary()), pa.array([np.minimum(c, 0xFFFF).astype("<u2").tobytes() for _, c in found], pa.binary())], names=["y", "f", "c"]
+            )
 
     picked = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("y", "t")
-    got = picked.mapInArrow(extract, "y int, f binary").toArrow()
-    order = np.argsort([f.as_py() for f in got.column("f")], kind="stable") if len(got) else []
-    rows = [np.frombuffer(got.column("f")[int(i)].as_py(), "<u4") for i in order]
-    return train(rows, np.array([got.column("y")[int(i)].as_py() for i in order]))
+    got = picked.mapInArrow(extract, "y int, f binary, c binary").toArrow()
+    # rows come in any order; the model must not depend on it
+    rows = sorted(zip(*(got.column(n).to_pylist() for n in ("f", "c", "y"))))
+    return train([(np.frombuffer(f, "<u4"), np.frombuffer(c, "<u2")) for f, c, _ in rows], np.array([y for _, _, y in rows]))
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
