@@ -24,17 +24,22 @@ LEAST_COSINE, SOME_LENGTH = 0.15, 200
 ORACLE_SQL = None
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Whole rows beside their texts: columns of any name pass through an operator unharmed."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and long ones unlike every learned language."""
-    scored = predict_language(docs, fit_prototypes(docs, key="doc_id"), docs.columns)
-    unlike = (F.col("score") < LEAST_COSINE) & (F.length("text") >= SOME_LENGTH)
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & ~F.coalesce(unlike, F.lit(False))).select(*docs.columns)
+    scored = predict_language(_rows(docs), fit_prototypes(docs, key="doc_id"), ["row"])
+    unlike = (F.col("score") < LEAST_COSINE) & (F.length("row.text") >= SOME_LENGTH)
+    return scored.where((F.col("lang_pred") != UNDETERMINED) & ~F.coalesce(unlike, F.lit(False))).select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents predicted toxic."""
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)))
-    return score_documents(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
+    return score_documents(_rows(docs), model, ["row"]).where("predicted = 0").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
