@@ -260,7 +260,7 @@ def yaml_scalars(spark, sf_dir):
 _YAML_BAD = {"a: 1\na: 2": (2, 1), "root:\n\tchild: 1": (2, 1), "v: &x 1": (1, 3), "a: 1\n---\nb: 2": (2, 1), "v: [1, 2": (1, 3), "  a: 1": (1, 1)}
 
 
-@query("SELECT n_nationkey, i, line, col FROM nation, (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(_YAML_BAD.values())) + ") AS e(i, line, col)")
+@query("SELECT n_nationkey, i, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col FROM nation, (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(_YAML_BAD.values())) + ") AS e(i, line, col)")
 def yaml_errors(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.array(*map(F.lit, _YAML_BAD))).alias("i", "text"))
     nodes = yaml.yaml_nodes(rows, "text", "n_nationkey", "i").where("kind = 'error'")
