@@ -94,12 +94,11 @@ def decode_record(fields: Column, spec: Sequence[Field], *, record=None) -> Colu
     """``struct<val, error>`` of one record: every field must decode and none may be left."""
     get = lambda i: F.get(fields, F.lit(i))
     value = F.struct(*(f.value(get(i)).alias(f.name) for i, f in enumerate(spec)))
-    error = F.lit(None)
-    missing = F.size(fields) < len(spec)
     fail = lambda kind, message: error_column(kind, message, record=record)
-    error = F.when(missing & F.forall(F.array(*(F.lit(True) if i is None else F.coalesce(f.value(get(i)).isNotNull(), F.size(fields) <= i) for i, f in enumerate(spec))), lambda x: x), fail(FAILURE, "expected another field but the record has no more"))
-    for i, f in enumerate(spec):
-        error = error.when((F.size(fields) > i) & f.value(get(i)).isNull(), fail(FAILURE, F.concat(F.lit(f"field {f.name}: expected {f.expected}, found "), get(i))))
+    error = F.when(F.lit(False), fail(FAILURE, ""))
+    for i, f in enumerate(spec):  # in the order of the fields, so that the first failure is reported
+        error = error.when(F.size(fields) <= i, fail(FAILURE, "expected another field but the record has no more"))
+        error = error.when(f.value(get(i)).isNull(), fail(FAILURE, F.concat(F.lit(f"field {f.name}: expected {f.expected}, found "), get(i))))
     error = error.when(F.size(fields) > len(spec), fail(INCOMPLETE, F.concat_ws(", ", F.slice(fields, len(spec) + 1, F.greatest(F.size(fields), F.lit(len(spec) + 1))))))
     return F.struct(F.when(error.isNull(), value).alias("val"), error.alias("error"))
 

@@ -54,6 +54,14 @@ class Regex:
     valid: Callable[[Callable[[int], Column]], Column] | None = None
     #: Failing ``valid`` would send the parser to another branch, which a pattern cannot do.
     soft: bool = False
+    #: The match depends on the character that follows it.
+    ahead: bool = False
+
+    def alone(self) -> Regex:
+        """For elements that are cut out and matched again."""
+        if self.ahead:
+            raise NotRegular("an element looks at what follows it")
+        return self.firm()
 
     def firm(self) -> Regex:
         if self.soft:
@@ -83,7 +91,10 @@ def _shift(fn: Callable | None, by: int) -> Callable | None:
 
 class Grammar:
     type: T.DataType = _STRING
+    #: Can succeed without consuming.
     nullable: bool = False
+    #: Never fails.
+    total: bool = False
 
     def match(self, s: str, i: int):
         """(value, end) or Fail."""
@@ -155,7 +166,7 @@ def quoted(text: str) -> str:
 
 class Literal(Grammar):
     def __init__(self, text: str):
-        self.text, self.nullable = text, not text
+        self.text, self.nullable, self.total = text, not text, not text
 
     def match(self, s, i):
         return (self.text, i + len(self.text)) if s.startswith(self.text, i) else Fail(i, f"expected {self.text!r}")
@@ -172,7 +183,7 @@ class Chars(Grammar):
 
     def __init__(self, cls: str, least: int, most: int | None, expected: str):
         self.cls, self.least, self.most, self.expected = cls, least, most, expected
-        self.nullable = least == 0
+        self.nullable = self.total = least == 0
         count = "*+" if (least, most) == (0, None) else "++" if (least, most) == (1, None) else "" if (least, most) == (1, 1) else f"{{{least},{'' if most is None else most}}}+"
         self.pattern = f"[{cls}]{count}"
         self._compiled = re.compile(self.pattern, re.S)
@@ -207,11 +218,11 @@ class Until(Grammar):
 
     def regex(self):
         stop = quoted(self.stop)
-        return Regex(f"([^{stop}]*+)(?={stop})", 1, lambda g: g(1))
+        return Regex(f"([^{stop}]*+)(?={stop})", 1, lambda g: g(1), ahead=True)
 
 
 class Rest(Grammar):
-    nullable = True
+    nullable = total = True
 
     def match(self, s, i):
         return s[i:], len(s)
@@ -247,7 +258,7 @@ class Number(Grammar):
 
 
 class Const(Grammar):
-    nullable = True
+    nullable = total = True
 
     def __init__(self, value, type: T.DataType):
         self.value, self.type = value, type
@@ -277,7 +288,7 @@ class Choice(Grammar):
         self.parts, self.type = list(parts), parts[0].type
         if any(p.type != self.type for p in parts):
             raise GrammarError("the alternatives of a choice have different types")
-        self.nullable = any(p.nullable for p in parts)
+        self.nullable, self.total = any(p.nullable for p in parts), any(p.total for p in parts)
 
     def match(self, s, i):
         failed = []
@@ -294,25 +305,27 @@ class Choice(Grammar):
         for p in self.parts:
             r = p.regex().firm()
             taken.append(f"({r.pattern})")
-            branches.append((at + 1, r, p.nullable))
+            branches.append((at + 1, r))
             at += 1 + r.groups
-            if p.nullable:  # it always matches: what follows is never tried
+            if p.total:  # what follows is never tried
                 break
+            if p.nullable and p is not self.parts[-1]:
+                raise NotRegular("an empty match looks like none")
 
         def pick(part):
             def build(g):
                 out = None
-                for mark, r, nullable in reversed(branches):
+                for mark, r in reversed(branches):
                     fn = getattr(r, part)
                     own = F.lit(True) if fn is None else fn(lambda k, mark=mark: g(mark + k))
                     # an alternative that cannot be empty was taken if its group is not
-                    out = own if out is None or nullable else F.when(g(mark) != "", own).otherwise(out)
+                    out = own if out is None else F.when(g(mark) != "", own).otherwise(out)
                 return out
 
             return build
 
-        valid = pick("valid") if any(r.valid for _, r, _ in branches) else None
-        return Regex(f"(?>{'|'.join(taken)})", at, pick("value"), valid)
+        valid = pick("valid") if any(r.valid for _, r in branches) else None
+        return Regex(f"(?>{'|'.join(taken)})", at, pick("value"), valid, ahead=any(r.ahead for _, r in branches))
 
     def first(self):
         parts = [p.first() for p in self.parts]
@@ -320,7 +333,7 @@ class Choice(Grammar):
 
 
 class Maybe(Grammar):
-    nullable = True
+    nullable = total = True
 
     def __init__(self, inner: Grammar):
         self.inner, self.type = inner, inner.type
@@ -331,18 +344,20 @@ class Maybe(Grammar):
 
     def regex(self):
         r = self.inner.regex().firm()
-        if self.inner.nullable:
+        if self.inner.total:
             return r
+        if self.inner.nullable:
+            raise NotRegular("an empty match looks like none")
         one = lambda g: F.when(g(1) != "", r.value(lambda k: g(1 + k)))
         valid = None if r.valid is None else lambda g: (g(1) == "") | r.valid(lambda k: g(1 + k))
-        return Regex(f"(?:({r.pattern}))?+", r.groups + 1, one, valid)
+        return Regex(f"(?:({r.pattern}))?+", r.groups + 1, one, valid, ahead=r.ahead)
 
 
 class Many(Grammar):
     def __init__(self, inner: Grammar, least: int):
         if inner.nullable:
             raise GrammarError("a repeated grammar must consume something")
-        self.inner, self.least, self.nullable = inner, least, least == 0
+        self.inner, self.least, self.nullable, self.total = inner, least, least == 0, least == 0
         self.type = T.ArrayType(inner.type)
 
     def match(self, s, i):
@@ -355,7 +370,7 @@ class Many(Grammar):
             i = r[1]
 
     def regex(self):
-        r = self.inner.regex().firm()
+        r = self.inner.regex().alone()
         parts = lambda g: F.regexp_extract_all(g(1), F.lit(f"(?s){r.pattern}"), 0)
         return Regex(f"((?:{r.pattern}){'+' if self.least else '*'}+)", 1 + r.groups, lambda g: r.array(parts(g))[0], None if r.valid is None else lambda g: r.array(parts(g))[1])
 
@@ -369,7 +384,7 @@ class SepBy(Grammar):
     def __init__(self, inner: Grammar, separator: Grammar):
         if inner.nullable and separator.nullable:
             raise GrammarError("a repeated grammar must consume something")
-        self.inner, self.separator, self.nullable = inner, separator, inner.nullable
+        self.inner, self.separator, self.nullable, self.total = inner, separator, inner.nullable, inner.total
         self.type = T.ArrayType(inner.type)
 
     def match(self, s, i):
@@ -386,7 +401,7 @@ class SepBy(Grammar):
             i = r[1]
 
     def regex(self):
-        p, sep = self.inner.regex().firm(), self.separator.regex().firm()
+        p, sep = self.inner.regex().alone(), self.separator.regex().alone()
         more = Regex(f"{sep.pattern}{p.pattern}", sep.groups + p.groups, _shift(p.value, sep.groups), _shift(p.valid, sep.groups))
         # one group for the first element, one for the others
         head = lambda g: p.of(g(1))
@@ -402,7 +417,7 @@ class SepBy(Grammar):
 class OrEmpty(Grammar):
     """An array grammar, or the empty array."""
 
-    nullable = True
+    nullable = total = True
 
     def __init__(self, inner: Grammar):
         self.inner, self.type = inner, inner.type
@@ -413,11 +428,13 @@ class OrEmpty(Grammar):
 
     def regex(self):
         r = self.inner.regex().firm()
-        if self.inner.nullable:
+        if self.inner.total:
             return r
+        if self.inner.nullable:
+            raise NotRegular("an empty match looks like none")
         one = lambda g: F.when(g(1) != "", r.value(lambda k: g(1 + k))).otherwise(F.array().cast(self.type))
         valid = None if r.valid is None else lambda g: (g(1) == "") | r.valid(lambda k: g(1 + k))
-        return Regex(f"(?:({r.pattern}))?+", r.groups + 1, one, valid)
+        return Regex(f"(?:({r.pattern}))?+", r.groups + 1, one, valid, ahead=r.ahead)
 
 
 class Record(Grammar):
@@ -426,7 +443,7 @@ class Record(Grammar):
     def __init__(self, parts: tuple = ()):
         self.parts = parts
         self.type = T.StructType([T.StructField(n, p.type) for n, p in parts if n])
-        self.nullable = all(p.nullable for _, p in parts)
+        self.nullable, self.total = all(p.nullable for _, p in parts), all(p.total for _, p in parts)
 
     def keep(self, name: str, part: Grammar) -> Record:
         if any(n == name for n, _ in self.parts):
@@ -448,17 +465,16 @@ class Record(Grammar):
         return out, i
 
     def regex(self):
-        pattern, at, fields, valid, soft = "", 0, [], None, False
+        pattern, at, fields, valid, soft, ahead = "", 0, [], None, False, False
         for name, p in self.parts:
             r = p.regex()
-            if r.soft and at:
-                pass  # a later failure fails the whole record, which is no branch of its own
+            ahead = r.ahead or (ahead and p.nullable)
             pattern += r.pattern if not isinstance(p, Const) else ""
             if name:
                 fields.append((name, _shift(r.value, at)))
             valid, soft, at = _and(valid, _shift(r.valid, at)), soft or r.soft, at + r.groups
         value = lambda g: F.struct(*(fn(g).alias(n) for n, fn in fields)) if fields else F.struct()
-        return Regex(pattern, at, value, valid, soft)
+        return Regex(pattern, at, value, valid, soft, ahead)
 
     def first(self):
         for _, p in self.parts:
@@ -471,7 +487,7 @@ class Record(Grammar):
 
 class Map(Grammar):
     def __init__(self, inner: Grammar, fn: Callable, type: T.DataType, sql: Callable | None):
-        self.inner, self.fn, self.type, self.sql, self.nullable = inner, fn, type, sql, inner.nullable
+        self.inner, self.fn, self.type, self.sql, self.nullable, self.total = inner, fn, type, sql, inner.nullable, inner.total
 
     def match(self, s, i):
         r = self.inner.match(s, i)
@@ -481,7 +497,7 @@ class Map(Grammar):
         if self.sql is None:
             raise NotRegular("a map without a column expression")
         r = self.inner.regex()
-        return Regex(r.pattern, r.groups, lambda g: self.sql(r.value(g)).cast(self.type), r.valid, r.soft)
+        return Regex(r.pattern, r.groups, lambda g: self.sql(r.value(g)).cast(self.type), r.valid, r.soft, r.ahead)
 
     def first(self):
         return self.inner.first()
@@ -490,7 +506,7 @@ class Map(Grammar):
 class Flatten(Map):
     def __init__(self, inner, fn, type, sql, message):
         super().__init__(inner, fn, type, sql)
-        self.message = message
+        self.message, self.total = message, False
 
     def match(self, s, i):
         r = super().match(s, i)
@@ -498,7 +514,7 @@ class Flatten(Map):
 
     def regex(self):
         r = super().regex()
-        return Regex(r.pattern, r.groups, r.value, _and(r.valid, lambda g: r.value(g).isNotNull()), True)
+        return Regex(r.pattern, r.groups, r.value, _and(r.valid, lambda g: r.value(g).isNotNull()), True, r.ahead)
 
 
 class Bind(Grammar):

@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 
 def read_texts(spark: SparkSession, path: str, *, pattern: str | None = None) -> DataFrame:
-    """(path, text): one row a file."""
-    reader = spark.read.option("wholetext", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text): one row a file, every character kept (the text reader drops a last line end); null if it is no UTF-8."""
+    return read_binary(spark, path, pattern=pattern).select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_binary(spark: SparkSession, path: str, *, pattern: str | None = None) -> DataFrame:
