@@ -146,14 +146,14 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], keep:
     language by name.  Other columns do not matter and may clash.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[l] for l in names], np.float64).reshape(len(names), -1)
+    matrix = np.array([prototypes[l] for l in names], np.float64) if names else np.zeros((0, DIMENSION))
     if len(names):
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(matrix.shape[1] or DIMENSION)
+        encoder = Encoder(matrix.shape[1])
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)

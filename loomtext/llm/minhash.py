@@ -34,6 +34,7 @@ CHUNKS = 13
 WORDS = 5
 PERCENT = 80
 BLOCK = 512
+SALTS = 16
 CACHE_WORDS = 500_000
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 _FACTORS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -267,7 +268,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     placed = checkpoint(members.join(first.withColumnRenamed("node", "id"), "id", "left").select("leader", "id", F.coalesce("component", "id").alias("comp")))
     still = placed.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    apart = checkpoint(placed.join(still.select("leader", parts.alias("parts")), "leader"))
+    # one leader may have a third of all rows: its members are spread over SALTS keys for the join
+    salted = still.select("leader", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = placed.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    apart = checkpoint(spread.join(salted, ["leader", "salt"]).drop("salt"))
     nodes = apart.groupBy("id").agg(F.collect_set("leader").alias("leaders"))  # one for each key of a signature at most
     others = full_sets(nodes.select("id").join(sets, "id", "left_anti"), docs, key=key, text=text, words=words)
     held = nodes.join(light, "id").join(sets.union(others), "id")
