@@ -30,8 +30,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and long ones unlike every learned language."""
-    scored = predict_language(_rows(docs), fit_prototypes(docs, key="doc_id"), ["row"])
+    """Rejects texts without a letter and long ones unlike every learned language; where no language is known, only the former."""
+    prototypes = fit_prototypes(docs, key="doc_id")
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    scored = predict_language(_rows(docs), prototypes, ["row"])
     unlike = (F.col("score") < LEAST_COSINE) & (F.length("row.text") >= SOME_LENGTH)
     return scored.where((F.col("lang_pred") != UNDETERMINED) & ~F.coalesce(unlike, F.lit(False))).select("row.*")
 
