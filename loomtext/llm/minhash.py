@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import checkpoint, table
+from loomtext.llm.common import batches_of, checkpoint, table
 from loomtext.llm.components import connected_components
 
 SYMBOLS = 64
@@ -35,23 +35,47 @@ WORDS = 5
 PERCENT = 80
 BLOCK = 512
 SALTS = 16
-CACHE_WORDS = 500_000
+#: Rows of an Arrow batch: texts and sets are long.
+BATCH_ROWS = 1000
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 _FACTORS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+_BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD1342543DE82EF95
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse modulo 2**64."""
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    return both[0], both[1]
+
 
+_POWERS = _powers(1 << 15)
 
-_WORD_HASH = _WordHash()
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of each run of bytes without ASCII white space: a polynomial in random byte values, taken from prefix sums."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.concatenate(([False], ~_SPACE[codes], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    up, down = _POWERS if len(codes) < len(_POWERS[0]) else _powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_BYTES[codes] * up[: len(codes)], out=sums[1:])
+    start, end = edges[::2], edges[1::2]
+    out = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -60,10 +84,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     Words are maximal runs without ASCII white space, A-Z lower-cased.  Fewer words
     than a shingle make one shingle; no words, none.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(_WORD_HASH.__getitem__, found)), np.uint64)
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(h):
+        return h
     size = min(words, len(h))
     n = len(h) - size + 1
     out = np.full(n, size * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -240,6 +263,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     if percent < 80:
         raise ValueError("the radius is set for similarities of 0.8 and more")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        described, final = _classes_and_components(docs, key=key, text=text, words=words, percent=percent)
+    linked = described.select("id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and id is not null"), F.col("f1")).alias("f1"), F.when(F.expr("n > 0"), F.col("f2")).alias("f2"))
+    out = linked.join(final, ["f1", "f2"], "left").withColumn("component_id", F.coalesce("component", "id"))
+    return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _classes_and_components(docs: DataFrame, *, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Described rows, and the component of each distinct set; both written out."""
     described = checkpoint(describe(docs, key=key, text=text, words=words))
     classes = described.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig"))
     classes = checkpoint(classes)
@@ -293,10 +325,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         .join(named, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c1"))
         .join(second, "c1", "left").select("f1", "f2", F.coalesce("c2", "c1").alias("component"))
     )
-    final = _one_id_one_component(described, checkpoint(final))
-    linked = described.select("id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and id is not null"), F.col("f1")).alias("f1"), F.when(F.expr("n > 0"), F.col("f2")).alias("f2"))
-    out = linked.join(final, ["f1", "f2"], "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return described, _one_id_one_component(described, checkpoint(final))
 
 
 def _plausible(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
