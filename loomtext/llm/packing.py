@@ -23,7 +23,7 @@ SEQUENCE = 2048
 END_ID = 1
 #: Expected pieces of a group: memory of a packing task, whatever the corpus.
 GROUP_PIECES = 8192
-CACHE_WORDS = 800_000
+CACHE_WORDS = 120_000
 END_OF_TEXT = "<|endoftext|>"
 _MARKS = ".,;:!?)"
 _UNSAFE = regex.compile(r"\s\s|^\s|\s$")
