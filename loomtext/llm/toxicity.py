@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,14 +88,18 @@ def log_count_ratio(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) ->
 
 def fit_weights(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, ridge: float = 2e-4, steps: int = 150) -> np.ndarray:
     """Logistic regression by gradient descent with momentum on the scaled features; weights for raw counts."""
-    ratio = log_count_ratio(rows, y)
+    ratio = log_count_ratio(rows, y).astype(np.float32)
     used = np.flatnonzero(ratio)
     index = np.full(1 << BITS, -1, np.int32)
     index[used] = np.arange(len(used), dtype=np.int32)
-    kept = [index[f] >= 0 for f, _ in rows]
-    rws = np.repeat(np.arange(len(rows), dtype=np.int32), [int(k.sum()) for k in kept])
-    cols = np.concatenate([index[f[k]] for (f, _), k in zip(rows, kept)])
-    values = np.concatenate([damped(c[k]) for (_, c), k in zip(rows, kept)]).astype(np.float32) * ratio[used].astype(np.float32)[cols]
+    sizes = np.array([int((ratio[f] != 0).sum()) for f, _ in rows])
+    cols, values, at = np.empty(sizes.sum(), np.int32), np.empty(sizes.sum(), np.float32), 0
+    for (f, c), n in zip(rows, sizes):
+        keep = ratio[f] != 0
+        cols[at : at + n] = index[f[keep]]
+        values[at : at + n] = damped(c[keep]) * ratio[f[keep]]
+        at += n
+    rws = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     scale = np.float32(1 / np.sqrt(max(1.0, np.bincount(rws, values**2, minlength=len(y)).mean())))
     values *= scale
@@ -160,15 +165,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
         for batch in batches:
             found = [counted(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f.astype("<u4").tobytes() for f, _ in found], pa.binary()), pa.array([np.minimum(c, 0xFFFF).astype("<u2").tobytes() for _, c in found], pa.binary())], names=["y", "f", "c"]
-            )
+            f, c = [f.astype("<u4").tobytes() for f, _ in found], [np.minimum(c, 0xFFFF).astype("<u2").tobytes() for _, c in found]
+            order = [xxhash.xxh3_64_intdigest(x + z) >> 1 for x, z in zip(f, c)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(order, pa.int64()), pa.array(f, pa.binary()), pa.array(c, pa.binary())], names=["y", "h", "f", "c"])
 
     picked = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("y", "t")
-    got = picked.mapInArrow(extract, "y int, f binary, c binary").toArrow()
-    # rows come in any order; the model must not depend on it
-    rows = sorted(zip(*(got.column(n).to_pylist() for n in ("f", "c", "y"))))
-    return train([(np.frombuffer(f, "<u4"), np.frombuffer(c, "<u2")) for f, c, _ in rows], np.array([y for _, _, y in rows]))
+    got = picked.mapInArrow(extract, "y int, h bigint, f binary, c binary").toArrow()
+    features_of, counts_of = _slices(got.column("f"), "<u4"), _slices(got.column("c"), "<u2")
+    y, h = (got.column(n).to_numpy() for n in ("y", "h"))
+    order = np.lexsort((y, h))  # rows come in any order; the model must not depend on it
+    return train([(features_of(i), counts_of(i)) for i in order], y[order])
+
+
+def _slices(column, kind: str):
+    """Views of a binary column's values, without a copy of each."""
+    import pyarrow as pa
+
+    array = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    array = pa.concat_arrays(array.chunks) if isinstance(array, pa.ChunkedArray) else array
+    if not len(array):
+        return lambda i: np.zeros(0, kind)
+    wide = "<i8" if pa.types.is_large_binary(array.type) else "<i4"
+    at = np.frombuffer(array.buffers()[1], wide)[array.offset : array.offset + len(array) + 1] // np.dtype(kind).itemsize
+    data = np.frombuffer(array.buffers()[2] or b"", kind)
+    return lambda i: data[at[i] : at[i + 1]]
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
