@@ -3,8 +3,9 @@
 Every node of the parsed page gets a density: characters per tag, lowered where
 characters sit in links.  The subtree with the largest sum of child densities is the
 content; the least density on its path to the body is the threshold below which other
-subtrees are left out.  Elements that are never article text (scripts, menus, forms,
-and what its name calls an advert, a notice or comments) are cut off before.
+subtrees are left out.  Elements that are never article text (scripts, menus) are cut off
+before; forms and what its name calls an advert, a notice or comments only where they hold
+no article and little of the text around them.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|</[^>]*>",
     re.S,
 )
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("head script style textarea title noscript template iframe noembed noframes nav footer aside form button select option input svg canvas object audio video map dialog menu".split())
+_DROP = frozenset("head script style textarea title noscript template iframe noembed noframes nav footer aside button select option input svg canvas object audio video map dialog menu".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -47,24 +48,130 @@ _WORDS = frozenset(
     " comment comments commentlist disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social"
     " related recommended recommendations trending outbrain taboola widget widgets pagination pager skip complementary contentinfo search toolbar copyright".split()
 )
+_COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words of place and shape: a name is one of the above if it has no other words than these beside it.
+_BESIDE = frozenset(
+    "site main page global primary secondary left right top bottom inner outer wrap wrapper container box block bar area zone slot unit panel section list item items link links row column grid group"
+    " form field button buttons icon icons title heading text body author meta post posts article articles stories the this of by us div gpt".split()
+)
+#: A named subtree or a form with more than this share of the text around it is left to the densities; comments, and what stands beside an article, may outweigh it.
+LITTLE, LITTLE_BESIDE = 1 / 3, 0.9
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("children", "density", "link_chars", "link_tags", "parent", "skip", "sum", "tag", "tags", "chars")
+    __slots__ = ("children", "density", "link_chars", "link_tags", "named", "parent", "skip", "slug", "sum", "tag", "tags", "chars")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
         self.children: list = []
+        self.named = self.slug = ""
 
 
-def _named_chrome(tag: str, attributes: str) -> bool:
-    if tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
-    for m in _NAMED.finditer(attributes):
-        value = m.group(1) or m.group(2) or m.group(3) or ""
-        if any(w.lower() in _WORDS for part in re.split(r"[^A-Za-z]+", value) for w in (part, *_CAMEL.findall(part)) if w):
-            return True
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m.group(1).lower(), unescape(m.group(2) or m.group(3) or m.group(4) or ""))
+    return out
+
+
+def _chrome(name: str) -> str:
+    """What a whole name says: 'comments', 'name' (an advert, a menu, a notice) or ''."""
+    said = ""
+    for part in re.split(r"[^A-Za-z]+", name):
+        for w in [part] if part.lower() in _WORDS else _CAMEL.findall(part):
+            w = w.lower()
+            if w in _COMMENTS:
+                said = "comments"
+            elif w in _WORDS:
+                said = said or "name"
+            elif len(w) > 1 and w not in _BESIDE:
+                return ""
+    return said
+
+
+def _named_chrome(tag: str, attributes: dict[str, str]) -> tuple[str, str]:
+    """What the names of an element say, and the id if only that says it; an article can only be comments."""
+    if tag in _HEADINGS or tag in ("html", "body", "main"):
+        return "", ""
+    said = {_chrome(n) for n in (*attributes.get("class", "").split(), *attributes.get("role", "").split(), attributes.get("aria-label", ""))}
+    by_id = _chrome(attributes.get("id", "")) if tag != "p" else ""
+    only = attributes.get("id", "") if by_id and said == {""} else ""
+    for kind in ("comments",) if tag == "article" else ("comments", "name"):
+        if kind in said or kind == by_id:
+            return kind, only
+    return "", ""
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", "")))
+
+
+def _text(n: Node) -> str:
+    out, stack = [], [n]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            stack += reversed(x.children)
+    return "".join(out)
+
+
+def _cut_named(root: Node) -> None:
+    """Cuts named subtrees and forms that hold no article and little of the text around them.
+
+    The text around is that of the nearest article or main, else of the page; text in links
+    does not count.  Comments go first.  Where no article stands elsewhere on the page, names
+    whose subtrees together hold more than half of that text say nothing; a section whose id
+    is the slug of its heading is text.
+    """
+    for kinds in (("comments",), ("name", "form")):
+        order, stack = [], [root]
+        while stack:
+            n = stack.pop()
+            order.append(n)
+            stack += [c for c in n.children if isinstance(c, Node)]
+        plain, links, articles = {}, {}, {}  # articles: how many with text
+        for n in reversed(order):
+            i = id(n)
+            plain[i] = links[i] = articles[i] = 0
+            for c in n.children:
+                if isinstance(c, Node):
+                    plain[i] += plain[id(c)]
+                    links[i] += links[id(c)]
+                    articles[i] += articles[id(c)] or int(c.tag in ("article", "main") and c.named != "comments" and plain[id(c)] > 0)
+                else:
+                    plain[i] += len(c.strip())
+            if n.tag == "a":
+                plain[i], links[i] = 0, links[i] + plain[i]
+        cuts: dict[int, list[Node]] = {}
+        stack = [(root, root)]
+        while stack:
+            n, around = stack.pop()
+            beside = n.named == "comments" or (n.named == "name" and around is root and articles[id(root)])
+            little = LITTLE_BESIDE if beside else LITTLE
+            if n.named in kinds and not articles[id(n)] and plain[id(n)] <= little * plain[id(around)]:
+                if not (n.slug and n.named == "name" and n.tag in ("section", "div") and plain[id(n)] > links[id(n)] and _slug_of_heading(n)):
+                    cuts.setdefault(id(around), []).append(n)
+                    continue
+            if n.tag in ("article", "main") and n.named != "comments":
+                around = n
+            stack += [(c, around) for c in n.children if isinstance(c, Node)]
+        for around, each in cuts.items():
+            trusted = kinds == ("comments",) or (around == id(root) and articles[around]) or 2 * sum(plain[id(n)] for n in each) <= plain[around]
+            for n in each:
+                if trusted or links[id(n)] >= plain[id(n)]:
+                    n.skip, n.children = True, []
+
+
+def _slug_of_heading(n: Node) -> bool:
+    stack = [n]
+    while stack:
+        x = stack.pop()
+        if x.tag in _HEADINGS:
+            return "-".join(re.findall(r"\w+", _text(x).lower())) == "-".join(re.findall(r"\w+", n.slug.lower()))
+        stack += [c for c in reversed(x.children) if isinstance(c, Node)]
     return False
 
 
@@ -72,6 +179,7 @@ def parse(html: str) -> Node:
     """A tolerant tree; cut subtrees are marked ``skip`` and hold nothing."""
     root = Node("html", None, False)
     at, open_node, place, size = 0, root, 0, len(html)
+    doubtful = False
 
     def text(a: int, b: int):
         if b > a and not open_node.skip:
@@ -123,12 +231,18 @@ def parse(html: str) -> Node:
             while open_node is not root:
                 open_node = open_node.parent
         attributes = m.group(3)
+        named = _attributes(attributes) if attributes else {}
         inside = open_node
         if tag == "header":
             while inside is not root and inside.tag not in ("article", "main"):
                 inside = inside.parent
-        skip = open_node.skip or tag in _DROP or (tag == "header" and inside is root) or (bool(attributes) and (_named_chrome(tag, attributes) or bool(_HIDDEN.search(attributes))))
+        skip = open_node.skip or tag in _DROP or (tag == "header" and inside is root) or (bool(named) and _hidden(named))
         node = Node(tag, open_node, skip)
+        if named and not skip:
+            node.named, node.slug = _named_chrome(tag, named)
+        if tag == "form" and not skip:
+            node.named = node.named or "form"
+        doubtful = doubtful or bool(node.named)
         if not open_node.skip:
             open_node.children.append(node)
         if tag in _RAW:
@@ -137,6 +251,8 @@ def parse(html: str) -> Node:
         elif tag not in _VOID and not attributes.endswith("/"):
             open_node = node
     text(place, size)
+    if doubtful:
+        _cut_named(root)
     return root
 
 

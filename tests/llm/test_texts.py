@@ -216,3 +216,24 @@ def test_main_text_of_pages(spark, sf_dir):
     assert sorted((r["n_chars"], r["text"]) for r in html_extract.extract_pages(df).collect()) == [(0, ""), (0, ""), (1, "a")]
     assert html_extract.extract_pages(df.limit(0)).count() == 0
     json.dumps(PAGES[0])
+
+
+PROSE = "<p>" + "Some prose of an article that goes on for a while, with commas. " * 5 + "</p>"
+LINE = " ".join(PROSE[3:-4].split())
+NAMED = [
+    (f"<body><div class='content no-sidebar'><article><h1>T</h1>{PROSE}</article></div></body>", ["T", LINE]),
+    (f"<body><div class='widget-area'><article><h1>T</h1>{PROSE}</article></div><div class=widget>w</div></body>", ["T", LINE]),
+    (f"<body><div class=has-share><div><h1>T</h1>{PROSE * 2}</div></div></body>", ["T", LINE, LINE]),
+    (f"<body><article class='post comments-open'><h1>T</h1>{PROSE}</article></body>", ["T", LINE]),
+    (f"<body><article><h2 id=related-work>Related</h2>{PROSE}<h2 id='search'>Search</h2><p id=notice>Notice</p></article></body>", ["Related", LINE, "Search", "Notice"]),
+    (f"<body><form action=x><article><h1>T</h1>{PROSE}</article></form></body>", ["T", LINE]),
+    (f"<body><article><p>See <a title='the hidden gem' href=x>this</a></p>{PROSE}<p hidden>x</p><p style='color:red; display: none'>y</p></article></body>", ["See this", LINE]),
+    ("<body>" + f"<div class=widget>{PROSE}</div>" * 3 + "</body>", [LINE] * 3),
+    (f"<body><article>{PROSE}<div class=share-buttons>Share</div><div class=relatedPosts>More</div><form>Mail</form><div id=comments><article class=comment>{PROSE * 3}</article></div></article></body>", [LINE]),
+    ("<body><div class=ad>An advert longer than the article.</div><article><h1>Short</h1></article></body>", ["Short"]),
+]
+
+
+def test_names_cut_only_little_text_without_an_article():
+    for html, want in NAMED:
+        assert html_extract.extract(html).split("\n") == want, html[:80]
