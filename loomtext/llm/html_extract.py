@@ -345,11 +345,11 @@ def extract(html: str | None) -> str:
 
     articles = [n for n in order if n.tag in ("article", "main")]
     marked.add(id(best))
-    n = best
-    while n is not None:  # an article is taken whole
-        if n.tag == "article":
-            marked.add(id(n))
+    around, n = {"article": [], "main": []}, best
+    while n is not None:  # an article is taken whole; without one, main is
+        around.get(n.tag, []).append(n)
         n = n.parent
+    marked.update(id(n) for n in around["article"] or around["main"])
     if not any(_within(best, a) for a in articles):
         # subtrees reached through nodes at or over the threshold each give their largest sum
         top: dict[int, Node] = {}

@@ -237,3 +237,12 @@ NAMED = [
 def test_names_cut_only_little_text_without_an_article():
     for html, want in NAMED:
         assert html_extract.extract(html).split("\n") == want, html[:80]
+
+
+def test_main_without_an_article_is_taken_whole():
+    sections = f"<h1>T</h1><section>{PROSE * 5}</section><section id=search><h2>Search</h2>{PROSE * 3}</section><ul><li>x</ul>"
+    want = ["T", *[LINE] * 5, "Search", *[LINE] * 3, "x"]
+    for html in (f"<body><main>{sections}</main></body>", f"<body><nav>n</nav><div><main><div>{sections}</div><div class=ad>Buy</div></main></div><footer>f</footer></body>"):
+        assert html_extract.extract(html).split("\n") == want
+    html = f"<body><main><p>Aside</p><article><h1>T</h1>{PROSE}</article></main></body>"
+    assert html_extract.extract(html).split("\n") == ["T", LINE]
