@@ -29,7 +29,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SCHEME_END = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _HANDLE = re.compile(r"@[A-Za-z0-9_](?:[A-Za-z0-9_.]{0,28}[A-Za-z0-9_])?(?![\w@-])")
-_ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|id|#))?\s*[:=#]?\s*([A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9])", re.I)
+_LEAD = r"(?i:\s*(?:number|no\.?|id|#))?\s*[:=#]?\s*"
+_ACCOUNT = re.compile(_LEAD + r"([A-Za-z]{0,4}[0-9][A-Za-z0-9-]{4,33})(?![A-Za-z0-9])")
+#: An IBAN as printed: single blanks or hyphens between its groups, letters of one case.
+_PRINTED = re.compile(_LEAD + r"([A-Z]{2}[0-9]{2}(?:[ \xa0-]?[A-Z0-9]){11,30}|[a-z]{2}[0-9]{2}(?:[ \xa0-]?[a-z0-9]){11,30})")
 _SECRETS = {
     "AKIA": re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     "ASIA": re.compile(r"ASIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
@@ -39,12 +42,16 @@ _SECRETS = {
     "xoxb-": re.compile(r"xoxb-[A-Za-z0-9-]{20,}(?![A-Za-z0-9])"),
     "AIza": re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9])"),
     "eyJ": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "-----BEGIN ": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?"),
+    # as far as its END line, if that comes before another key's BEGIN; else the lines that look like a key
+    "-----BEGIN ": re.compile(
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----BEGIN [A-Z ]*PRIVATE KEY-----))*?-----END [A-Z ]*PRIVATE KEY-----|(?:\s*\n[A-Za-z-]+:[^\n]*+)*+(?:\s+[A-Za-z0-9+/=]{20,}+)*+)"
+    ),
 }
 #: What follows a word for a secret: an assignment, perhaps quoted, of a value with a digit.
 _KEYED = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s,;\"'<>]{8,})")
-_KEYS = tuple(v for c in ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key") for v in (c, c.capitalize(), c.upper()))
-_CUES = tuple(v for c in ("account", "acct", "iban", "passport", "ssn", "social security", "customer", "member") for v in (c, c.capitalize(), c.upper()))
+#: Looked for in any case.
+_KEYS = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key")
+_CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "customer", "member")
 _SCHEMES = frozenset(("http", "https", "ftp", "sftp", "ssh", "git", "postgres", "postgresql", "mysql", "mongodb", "redis", "amqp", "smb"))
 
 
@@ -57,7 +64,7 @@ def _automaton() -> ahocorasick.Automaton:
         found.add_word(c, (1, c))
     found.add_word("://", (3, "scheme"))
     for c in _SECRETS:
-        found.add_word(c, (len(c), c))
+        found.add_word(c.lower(), (len(c), c))
     for c in _CUES:
         found.add_word(c, (len(c), "cue"))
     for c in _KEYS:
@@ -77,10 +84,23 @@ def luhn(digits: str) -> bool:
 
 
 def iban(code: str) -> bool:
-    code = code.replace("-", "").upper()
+    code = re.sub(r"[ \xa0-]", "", code).upper()
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _printed(text: str, at: int) -> tuple[int, int] | None:
+    """The longest IBAN in groups that follows a cue ending at ``at``."""
+    if m := _PRINTED.match(text, at):
+        start, stop = m.span(1)
+        while stop - start >= 15:
+            if not text[stop : stop + 1].isalnum() and iban(text[start:stop]):
+                return start, stop
+            stop -= 1
+            while text[stop - 1] in " \xa0-":
+                stop -= 1
+    return None
+
+
 def _ip_ok(match: str) -> bool:
     return all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in match.split("."))
 
@@ -105,7 +125,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     end = dict.fromkeys(KINDS, 0)
     last_digit = -2
     size = len(text)
-    for last, (length, kind) in _automaton().iter(text):
+    for last, (length, kind) in _automaton().iter(text.replace("\u0130", "i").lower()):  # of equal length
         at = last - length + 1
         if kind == "digit":
             run, last_digit = last_digit != at - 1, at
@@ -147,8 +167,12 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                     out["url"].append((start, stop))
         elif kind == "cue":
             if at >= end["account"] and (at == 0 or not text[at - 1].isalnum()) and not (last + 1 < size and text[last + 1].isalpha()):
-                if m := _ACCOUNT.match(text, last + 1):
-                    cue, code = text[at : last + 1].lower(), m.group(1)
+                cue = text[at : last + 1].lower()
+                if cue in ("iban", "account", "acct") and (span := _printed(text, last + 1)):
+                    end["account"] = span[1]
+                    out["account"].append(span)
+                elif m := _ACCOUNT.match(text, last + 1):
+                    code = m.group(1)
                     digits = sum(c.isdigit() for c in code)
                     if iban(code) if cue == "iban" else digits == 9 if cue in ("ssn", "social security") else digits >= 5:
                         end["account"] = m.end(1)

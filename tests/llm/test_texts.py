@@ -246,3 +246,21 @@ def test_main_without_an_article_is_taken_whole():
         assert html_extract.extract(html).split("\n") == want
     html = f"<body><main><p>Aside</p><article><h1>T</h1>{PROSE}</article></main></body>"
     assert html_extract.extract(html).split("\n") == ["T", LINE]
+
+
+def test_personal_data_in_any_case_and_print():
+    said = lambda t: {k: [t[a:b] for a, b in v] for k, v in pii.find(t).items() if v}
+    assert said("İİ Social Security number: 123-45-6789")["account"] == ["123-45-6789"]
+    assert said("sOcIaL sEcUrItY 123-45-6789, Api_Key = abc12345x") == {"account": ["123-45-6789"], "secret": ["abc12345x"]}
+    for printed in ("GB29 NWBK 6016 1331 9268 19", "BE68 5390 0754 7034", "de89 3704 0044 0532 0130 00", "DE89370400440532013000"):
+        for after in ("", " and more text", ", END 12", " UP"):
+            assert said(f"Iban: {printed}{after}")["account"] == [printed], (printed, after)
+    assert "account" not in said("IBAN GB28 NWBK 6016 1331 9268 19")
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq+/" * 3 for _ in range(3))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert pii.redact(f"a {block} b-c {block}", pii.find(f"a {block} b-c {block}")) == "a [SECRET] b-c [SECRET]"
+    cut = block[: block.index("\n-----END")]
+    assert pii.redact(f"{cut}\n\nprose\n{block}", pii.find(f"{cut}\n\nprose\n{block}")) == "[SECRET]\n\nprose\n[SECRET]"
+    many = "-----BEGIN PRIVATE KEY-----\nx " * 20_000
+    assert len(pii.find(many)["secret"]) == 20_000
+    assert pii.find("IBAN DE\u212a9370400440532013000 IBAN \u01309370400440532013000")["secret"] == []
