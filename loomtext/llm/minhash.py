@@ -28,9 +28,9 @@ from loomtext.llm.common import batches_of, checkpoint, table
 from loomtext.llm.components import connected_components
 
 SYMBOLS = 64
-#: A pair at similarity 0.8 differs in 12.8 of 64 symbols on average (deviation 3.2); 24 is 3.5 deviations off.
-RADIUS = 24
-CHUNKS = 13
+#: A pair at similarity 0.8 differs in 12.8 of 64 symbols on average (deviation 3.2) and in more than 27 with a chance of 1.4 in 100,000.
+RADIUS = 27
+CHUNKS = 14
 WORDS = 5
 PERCENT = 80
 BLOCK = 512

@@ -222,3 +222,14 @@ def test_query_matches_its_oracle(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir).toPandas()[list(want.columns)]
     order = list(want.columns)
     pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True), check_dtype=False)
+
+
+def test_links_at_the_edge_of_the_similarity(spark):
+    # each pair has similarity 0.8 and 25 or 26 of 64 symbols apart, and no third text between
+    seeds = [1406, 1710, 9553, 15648, 17868, 20543, 29129]
+    rows = []
+    for i, seed in enumerate(seeds):
+        words = [f"w{seed}x{j}" for j in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in range(2 * len(seeds))}
