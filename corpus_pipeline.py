@@ -46,11 +46,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates (five words, 0.8); of equal rows, one."""
+    """Keeps the smallest doc_id of each group of near-duplicates (five words, 0.8); of equal rows, one.  Rows without a doc_id all stay."""
     gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    if repeated.isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,10 @@ def test_personal_data_is_gone(spark, sf_dir, stages):
     left = pii.find_documents(clean)
     assert left.agg(F.sum(F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone"))).first()[0] == 0
     assert clean.where(F.length("text") != F.col("n_chars")).count() == docs.where(F.length("text") != F.col("n_chars")).count()
+
+
+def test_near_dedup_treats_rows_without_an_id_alike(spark, sf_dir, stages):
+    rows = [(None, "one text without any id"), (None, "one text without any id"), (4, "some other words stand here"), (4, "some other words stand here")]
+    for some, n in ((rows, 3), (rows[:3], 3)):
+        kept = stages["near_dedup"](spark, spark.createDataFrame(some, "doc_id bigint, text string"), sf_dir)
+        assert kept.where("doc_id is null").count() == 2 and kept.count() == n
