@@ -17,8 +17,8 @@ from loomtext.llm.packing import pack_documents
 from loomtext.llm.pii import redact_documents
 from loomtext.llm.toxicity import fit, score_documents
 
-#: A text of some length that is this far from every learned language is in none of them.
-LEAST_COSINE, SOME_LENGTH = 0.15, 200
+#: A text with a cosine under LEAST_COSINE - SPREAD / sqrt(n-grams) to every learned language is in none of them.
+LEAST_COSINE, SPREAD = 0.15, 0.4
 
 #: Classifiers, signatures and tokenizers have no SQL form; tests compare each stage with a plain version.
 ORACLE_SQL = None
@@ -30,12 +30,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and long ones unlike every learned language; where no language is known, only the former."""
+    """Rejects texts without a letter and those unlike every learned language, the shorter the more unlike; where no language is known, only the former."""
     prototypes = fit_prototypes(docs, key="doc_id")
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    scored = predict_language(_rows(docs), prototypes, ["row"])
-    unlike = (F.col("score") < LEAST_COSINE) & (F.length("row.text") >= SOME_LENGTH)
+    scored = predict_language(_rows(docs), prototypes, ["row"], n_grams=True)
+    unlike = F.col("score") < LEAST_COSINE - SPREAD / F.sqrt("n_grams")
     return scored.where((F.col("lang_pred") != UNDETERMINED) & ~F.coalesce(unlike, F.lit(False))).select("row.*")
 
 

@@ -138,8 +138,8 @@ def fit_prototypes(labelled: DataFrame, *, key: str, text: str = "text", lang: s
     return {l: v for l, v in sorted(out.items()) if any(v)}
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], keep: list[str], *, text: str = "text") -> DataFrame:
-    """``keep`` columns plus ``lang_pred`` and ``score`` (the cosine, cut to 0..1).
+def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], keep: list[str], *, text: str = "text", n_grams: bool = False) -> DataFrame:
+    """``keep`` columns plus ``lang_pred`` and ``score`` (the cosine, cut to 0..1); with ``n_grams`` also that number.
 
     A null text, one without a letter, or any text with no prototypes at all is
     ``und`` with score 0.  Whole texts are read.  Equal cosines go to the first
@@ -156,21 +156,22 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], keep:
         encoder = Encoder(matrix.shape[1])
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            langs, scores, grams = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0] * len(texts)
             for at in range(0, len(texts) if names else 0, 64):
                 vectors, counts = encoder.bundle(texts[at : at + 64])
                 cosines = vectors.astype(np.float64) @ matrix.T / np.maximum(np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True), 1e-300)
                 best = cosines.argmax(axis=1)
+                grams[at : at + 64] = counts.tolist()
                 for i in np.flatnonzero(counts):
                     langs[at + i], scores[at + i] = names[best[i]], float(min(1.0, max(0.0, cosines[i, best[i]])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
+                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(grams, pa.int64())] * n_grams],
+                names=[*batch.schema.names[:-1], "lang_pred", "score", *["n_grams"] * n_grams],
             )
 
     picked = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return picked.mapInArrow(run, f"{schema}, lang_pred string, score double" + ", n_grams bigint" * n_grams)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,11 @@ def test_near_dedup_treats_rows_without_an_id_alike(spark, sf_dir, stages):
     for some, n in ((rows, 3), (rows[:3], 3)):
         kept = stages["near_dedup"](spark, spark.createDataFrame(some, "doc_id bigint, text string"), sf_dir)
         assert kept.where("doc_id is null").count() == 2 and kept.count() == n
+
+
+def test_a_short_text_in_no_learned_language_goes(spark, sf_dir, stages):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    russian = "Утром мы вышли из дома и долго шли вдоль реки, пока не увидели старый мост, за которым начинался лес, и там решили отдохнуть до самого вечера."
+    rows = [(-1, russian, None), (-2, russian * 2, None), (-3, russian[:60], None), (-4, "ok", None)]
+    kept = stages["language"](spark, docs.union(spark.createDataFrame(rows, docs.schema)), sf_dir)
+    assert [r["doc_id"] for r in kept.where("doc_id < 0").collect()] == [-4]
