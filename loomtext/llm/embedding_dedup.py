@@ -2,8 +2,8 @@
 
 The filter directions are a random product code: the (rotated) space is cut into
 blocks, each with its own random codebook, and a direction is one codeword from each
-block.  A vector's filters are all directions it exceeds a threshold with, found by
-list decoding (half sums, pruned by the best the other half can add), never by trying
+block.  A vector's filters are its best ``FILTERS`` directions (and ties with the last), not
+all over a fixed threshold: each vector has a cap of its own.  They are found by list decoding (half sums, pruned by the best the other half can add), never by trying
 all of them.  Vectors sharing a filter and a label are compared exactly.
 """
 
@@ -21,7 +21,7 @@ from loomtext.llm.common import checkpoint, table
 from loomtext.llm.components import connected_components, union_find
 
 BLOCKS = 4
-#: Filters of a vector; measured recall at cosine 0.98 is in the README.
+#: Filters of a vector; recall by cosine and codebook size is in the README.
 FILTERS = 48
 #: Directions for each vector of the largest label: unrelated vectors then rarely share one.
 DIRECTIONS_PER_VECTOR = 640
