@@ -13,13 +13,12 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm.common import map_arrow, table
+from loomtext.llm.common import map_arrow, resident, table
 
 SCAN_LIMIT = 256
 CACHE_WORDS = 400_000
@@ -28,7 +27,7 @@ _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space
 _BLANKS = regex.compile(r"\p{White_Space}+")
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     out, extra = [""] * 256, 0
@@ -58,7 +57,7 @@ class WordBpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault((self.vocab[a], self.vocab[b]), rank)
             self.made.append(self.vocab[a + b])
-        symbols = _byte_symbols()
+        symbols = byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -161,9 +160,8 @@ class WordBpe:
 _ASCII_BLANKS = {c: " " for c in range(9, 14)}
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    return resident(f"word-bpe {path}", lambda: WordBpe(path))
 
 
 def encode_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

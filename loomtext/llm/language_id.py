@@ -14,12 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import held_out, map_arrow, table
+from loomtext.llm.common import held_out, table, tidy
 
 DIMENSION = 1024
 NGRAM = 3
 #: Expected training texts a language: a documented bound, not a share of the corpus.
 TRAIN_PER_LANGUAGE = 1500
+#: Values of the language column beyond this many, the rarest first, are not learned: the model is MOST_LANGUAGES x DIMENSION numbers at most.
+MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
 _GROUP_CHARS = 200_000
 _CACHE_ROWS = 24_000
@@ -109,15 +111,15 @@ class Encoder:
 def fit_prototypes(labelled: DataFrame, *, key: str, text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE, dimension: int = DIMENSION) -> dict[str, list[float]]:
     """Language prototypes from about ``per_language`` whole texts of each language, chosen by a hash of the key.
 
-    Rows without text or language are left out.  Each task sums its texts by
+    Rows without text or language are left out, and so are languages beyond the
+    MOST_LANGUAGES commonest.  Repeated rows count each; an empty table gives no prototypes.  Each task sums its texts by
     language; Spark sums the tasks; the driver gets languages x dimension numbers.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return {}
-    share = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, per_language / n))))
-    sample = rows.where((F.xxhash64(F.col("k"), F.lit(3)).bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))) < F.element_at(share, F.col("l"))).select("l", "t")
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES)
+    drawn = F.xxhash64(F.col("k"), F.lit(3)).bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))
+    sample = rows.join(F.broadcast(sizes), "l").where(drawn * F.col("n") < per_language).select("l", "t")
 
     def sums(batches):
         import pyarrow as pa
@@ -131,10 +133,10 @@ def fit_prototypes(labelled: DataFrame, *, key: str, text: str = "text", lang: s
                     total[l] = total.get(l, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_pydict({"l": list(total), "v": [v.tolist() for v in total.values()]}, schema=pa.schema([("l", pa.string()), ("v", pa.list_(pa.float64()))]))
 
-    parts = sample.mapInArrow(sums, "l string, v array<double>").select("l", F.posexplode("v").alias("i", "x")).groupBy("l", "i").agg(F.sum("x").alias("x"))
-    out = {l: [0.0] * dimension for l in sizes}
+    parts = sample.mapInArrow(tidy(sums), "l string, v array<double>").select("l", F.posexplode("v").alias("i", "x")).groupBy("l", "i").agg(F.sum("x").alias("x"))
+    out: dict[str, list[float]] = {}
     for r in parts.collect():
-        out[r["l"]][r["i"]] = r["x"]
+        out.setdefault(r["l"], [0.0] * dimension)[r["i"]] = r["x"]
     return {l: v for l, v in sorted(out.items()) if any(v)}
 
 
@@ -171,7 +173,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], keep:
 
     picked = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{schema}, lang_pred string, score double" + ", n_grams bigint" * n_grams)
+    return picked.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double" + ", n_grams bigint" * n_grams)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

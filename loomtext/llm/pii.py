@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm.common import map_arrow, table
+from loomtext.llm.common import map_arrow, table, tidy
 
 #: In the order of the result; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -239,7 +239,7 @@ def redact_documents(docs: DataFrame, *, text: str = "text", n_chars: str | None
                 columns[names.index(n_chars)] = pa.array([c if a == b else len(b) for a, b, c in zip(old, new, kept)], batch.schema.field(n_chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import checkpoint, table
+from loomtext.llm.common import checkpoint, copies, table
 
 #: Hex digits of the slot order that form a bucket: 4,096 buckets a shard are numbered in parallel.
 BUCKET_DIGITS = 3
@@ -77,11 +77,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, key: str = "doc_id", t
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("bucket_start"))
     inside = Window.partitionBy("shard", "bucket").orderBy("slot_order", key).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("start", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "bucket"])
-    return placed.select(
-        key, "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("bucket_start") + F.col("start"), F.col("bucket_start") + F.col("start") + F.col("n") - 1)).alias("slot"),
-        "grown_shard",
-    )
+    return copies(placed, "n", "copy").select(
+        key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("bucket_start") + F.col("start") + F.col("copy")).alias("slot"), "grown_shard"
+    )
 
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,19 +14,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import held_out, table
+from loomtext.llm.common import checkpoint, held_out, table, tidy
 
 ORDERS = (3, 4, 5)
 BITS = 19
 #: Expected training texts of each class: documented bounds on the sample, not shares of the corpus.
 TRAIN_TOXIC = 1200
 TRAIN_OTHER = 2400
+#: Bytes of the sample's features that the driver takes: the texts with the least hashes, as far as they fit.  A text has 3 MB at most.
+TRAIN_BYTES = 96 << 20
 THRESHOLD = 0.7
 SMOOTH = 0.5
 #: Features in fewer training texts, or with a smaller ratio, get no weight.
 LEAST_TEXTS = 5
 LEAST_RATIO = 0.7
 FOLDS = 4
+#: Values of a training step that are in hand at once.
+_PART = 1 << 20
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
 
 
@@ -99,16 +103,24 @@ def fit_weights(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, rid
         cols[at : at + n] = index[f[keep]]
         values[at : at + n] = damped(c[keep]) * ratio[f[keep]]
         at += n
-    rws = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    ends = np.cumsum(sizes)
+    marks = [0, *(np.flatnonzero(np.diff(ends // _PART)) + 1).tolist(), len(rows)]
+    parts = [(a, b, slice(ends[a] - sizes[a], ends[b - 1])) for a, b in zip(marks, marks[1:]) if b > a]  # rows of about _PART values, to bound what a step holds
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    scale = np.float32(1 / np.sqrt(max(1.0, np.bincount(rws, values**2, minlength=len(y)).mean())))
+    power = sum(float(values[own] @ values[own]) for _, _, own in parts)
+    scale = np.float32(1 / np.sqrt(max(1.0, power / len(y))))
     values *= scale
     w, velocity, b, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for _ in range(steps):
-        z = np.clip(np.bincount(rws, w.astype(np.float32)[cols] * values, minlength=len(y)) + b, -500, 500)
-        error = balance * (1 / (1 + np.exp(-z)) - y) / len(y)
-        velocity = 0.9 * velocity - 4.0 * (np.bincount(cols, error.astype(np.float32)[rws] * values, minlength=len(used)) + ridge * w)
-        vb = 0.9 * vb - 1.0 * error.sum()
+        slope, tilt, w32 = ridge * w, 0.0, w.astype(np.float32)
+        for first, last, own in parts:
+            at = np.repeat(np.arange(last - first), sizes[first:last])
+            z = np.clip(np.bincount(at, w32[cols[own]] * values[own], minlength=last - first) + b, -500, 500)
+            error = balance[first:last] * (1 / (1 + np.exp(-z)) - y[first:last]) / len(y)
+            slope += np.bincount(cols[own], error.astype(np.float32)[at] * values[own], minlength=len(used))
+            tilt += error.sum()
+        velocity = 0.9 * velocity - 4.0 * slope
+        vb = 0.9 * vb - 1.0 * tilt
         w, b = w + velocity, b + vb
     weights = np.zeros(1 << BITS, np.float32)
     weights[used] = w * ratio[used] * scale
@@ -152,8 +164,10 @@ def best_cut(margins: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic: int = TRAIN_TOXIC, other: int = TRAIN_OTHER) -> Model:
     """Train on whole texts of a bounded sample of labelled rows, chosen by a hash of the key.
 
-    Rows without text, key or label are left out.  The sample's keys (at most a few
-    thousand, by the bounds) are broadcast to the documents; its features, and nothing else, come to the driver.
+    Rows without text, key or label are left out; a key that is repeated counts each time;
+    without rows or with one class the score is a constant.  The sample's keys (at most a few
+    thousand, by the bounds) are broadcast to the documents; features of at most TRAIN_BYTES,
+    and nothing else, come to the driver.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -170,10 +184,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(order, pa.int64()), pa.array(f, pa.binary()), pa.array(c, pa.binary())], names=["y", "h", "f", "c"])
 
     picked = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("y", "t")
-    got = picked.mapInArrow(extract, "y int, h bigint, f binary, c binary").toArrow()
+    found = checkpoint(picked.mapInArrow(tidy(extract), "y int, h bigint, f binary, c binary"))
+    # rows come in any order; the model must not depend on it
+    sizes = found.select("h", (F.octet_length("f") + F.octet_length("c")).alias("size")).toArrow()
+    h, size = sizes.column("h").to_numpy(), sizes.column("size").to_numpy().astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    over = order[np.cumsum(size[order]) > TRAIN_BYTES]
+    got = (found.where(F.col("h") < int(h[over[0]])) if len(over) else found).toArrow()
     features_of, counts_of = _slices(got.column("f"), "<u4"), _slices(got.column("c"), "<u2")
     y, h = (got.column(n).to_numpy() for n in ("y", "h"))
-    order = np.lexsort((y, h))  # rows come in any order; the model must not depend on it
+    order = np.lexsort((y, h))
     return train([(features_of(i), counts_of(i)) for i in order], y[order])
 
 
@@ -192,7 +212,11 @@ def _slices(column, kind: str):
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``keep`` columns plus ``score`` and ``predicted``; a null text scores as an empty one.  Other columns are not read."""
+    """``keep`` columns plus ``score`` and ``predicted``; a null text scores as an empty one.
+
+    Whole texts of any length are read; repeated rows score alike; an empty table gives no
+    rows; other columns, also ones named like these, are not read.
+    """
     weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
 
     def run(batches):
@@ -208,7 +232,7 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], *, text: str
 
     picked = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{schema}, score double, predicted int")
+    return picked.mapInArrow(tidy(run), f"{schema}, score double, predicted int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ from loomtext.llm import bpe, html_extract, language_id, packing, pii, toxicity
 from loomtext.llm.common import held_out, table
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 ODD = [
     "", " ", "a", "It's we'll I'M 12345 <|endoftext|> x<|startoftext|>", "İΣσ Σ", "é é Å", "世界 \U0001f600\U0001f468‍\U0001f469", "a b c　d", "tab\tnl\r\n\x0b\x0c end  ",
     "x" * 3000, "ab" * 700 + "!" * 300, "\x00\x01\x7f", "مرحبا नमस्ते", "ﬁ ① ½", "...,,,;;; -- __", "ẞ STRASSE", "  lead and trail  ", "a.b,c;d:e!f?g)",
@@ -54,9 +53,11 @@ def test_bpe_edges(spark, edges, nothing):
 
 def test_packing_pieces_are_the_librarys(spark, documents):
     library = Tokenizer.from_file(BYTE)
-    texts = [*ODD, *documents.text[:80]]
+    rng = random.Random(12)
+    alphabet = "aAbzZ09 .,'éßİΣ世 ́\n\t<|>'s  \n"
+    texts = [*ODD, *documents.text[:80], *("".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)), "a <|endoftext|> b<|endoftext|>\nc"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    rows = packing.pack_documents(df, RANKS, PATTERN, with_ids=True).toPandas()
+    rows = packing.pack_documents(df, BYTE, with_ids=True).toPandas()
     for i, t in enumerate(texts):
         own = rows[rows.doc_id == i].sort_values("start")
         want = [*library.encode(t, add_special_tokens=False).ids, 1]
@@ -88,11 +89,15 @@ def test_first_fit_decreasing_is_first_fit():
 
 
 def test_packing_edges(spark, edges, nothing):
-    rows = packing.pack_documents(edges, RANKS, PATTERN).toPandas()
+    rows = packing.pack_documents(edges, BYTE).toPandas()
     check_sequences(rows)
-    assert packing.pack_documents(nothing, RANKS, PATTERN).count() == 0
+    assert packing.pack_documents(nothing, BYTE).count() == 0
     assert rows[rows.doc_id == 2].length.tolist() == [1] and len(rows[rows.doc_id == 1]) == 2
-    groups = packing.pack(packing.pieces(edges, RANKS, PATTERN), edges.count(), group_pieces=3).toPandas()
+    same = edges.where("doc_id = 2").crossJoin(edges.sparkSession.range(20).select()).unionByName(edges.where("doc_id = 2"))
+    dealt = packing.pack(packing.pieces(same, BYTE), same.count(), group_pieces=2).toPandas()
+    check_sequences(dealt)
+    assert len(dealt) == 21 and dealt.sequence_id.nunique() > 3  # equal rows are in many groups
+    groups = packing.pack(packing.pieces(edges, BYTE), edges.count(), group_pieces=3).toPandas()
     check_sequences(groups)
     assert groups.length.sum() == rows.length.sum()
 
