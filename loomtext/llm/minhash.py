@@ -6,12 +6,14 @@ the pigeonhole principle leaves to a chunk; each chunk is therefore indexed with
 every allowed choice of wrong places left out, and equal keys meet.  All pairs
 within the radius share a key.  Links are confirmed on the full shingle sets.
 
-Buckets are never expanded into pairs.  First every member meets only its bucket's
-smallest member; confirmed links give components.  Then only the members of a
-leader's buckets that are still in different components are compared, in blocks of
-bounded size that hold signatures and full sets: pairs within the radius are confirmed
-inside the task, which emits no more than a spanning forest.  Pairs left out either lie
-in one component already or are beyond the radius, so components are those of all pairs.
+Buckets are never expanded into pairs.  First every member meets only one member of its
+bucket, the leader; confirmed links give components.  Then only the members of a
+leader's buckets that are still in different components are compared, in blocks bounded
+by rows and by the size of their sets: a first pass over signatures finds the members
+with anyone near in another component, and only their full sets are sent on to a second
+pass, which confirms the links and emits no more than a spanning forest.  Pairs left out
+either lie in one component already or are beyond the radius, so components are those of
+all pairs.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomtext.llm.common import batches_of, checkpoint, table
+from loomtext.llm.common import HOT_SHARE, SALTS, batches_of, checkpoint, hot_join, hot_keys, sieve, table, tidy
 from loomtext.llm.components import connected_components
 
 SYMBOLS = 64
@@ -33,10 +36,12 @@ RADIUS = 27
 CHUNKS = 14
 WORDS = 5
 PERCENT = 80
-BLOCK = 512
-SALTS = 16
+#: Expected members of a block, and hashes of their sets: the memory of a comparing task, however large a group is.
+BLOCK, BLOCK_HASHES = 2048, 1 << 20
 #: Rows of an Arrow batch: texts and sets are long.
 BATCH_ROWS = 1000
+#: One in so many distinct sets is looked at to find hot bucket keys.
+SAMPLED = 64
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 _FACTORS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -153,7 +158,7 @@ def describe(docs: DataFrame, *, key: str, text: str, words: int) -> DataFrame:
                 sig.append(signature(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "f1", "f2", "sig"])
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, sig binary")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).mapInArrow(tidy(run), "id bigint, n bigint, f1 bigint, f2 bigint, sig binary")
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, *, key: str, text: str, words: int) -> DataFrame:
@@ -163,12 +168,12 @@ def full_sets(ids: DataFrame, docs: DataFrame, *, key: str, text: str, words: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
-    return texts.mapInArrow(sets, "id bigint, s binary").distinct()
+    texts, _ = sieve(docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")), ids, "id")
+    return texts.join(ids, "id", "left_semi").distinct().mapInArrow(tidy(sets), "id bigint, s binary")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full shingle sets have 100 * |both| >= percent * |either|."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose full shingle sets have 100 * |both| >= percent * |either|; ``hot`` names the a with very many b."""
 
     def judge(batches):
         for batch in batches:
@@ -184,73 +189,92 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(ok)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    full = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
+    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    full = hot_join(right, sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a", "b", hot)
+    return full.select("a", "b", "x", "y").mapInArrow(tidy(judge), "a bigint, b bigint")
 
 
-def _link_in_blocks(percent: int):
-    """Links inside each block pair as a forest; rows come sorted by block pair, whose size is bounded.
+class _Block:
+    """Members of one leader in one block pair."""
 
-    A pair is looked at under the smallest leader that both have, and only while its
-    components are apart.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(rows):
-        own = rows[0][1]
-        ids, comp, n, side = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4, 8))
-        sig = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), SYMBOLS)
-        lower = [{x for x in r[7] if x < own} for r in rows]
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        hashes = [np.frombuffer(r[6], "<u8") for r in rows]
+    def __init__(self, rows: list, percent: int):
+        self.rows, self.own, self.percent = rows, rows[0][0], percent
+        self.side, self.ids, comp, self.n = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 6))
+        self.sig = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), SYMBOLS)
+        self.lower = [{x for x in r[8] if x < self.own} for r in rows]
+        self.label = np.unique(comp, return_inverse=True)[1].ravel()
+
+    def near(self):
+        """(i, those near i that are in other components now); a pair counts under the smallest leader that both have.
+
+        Members of the most common component are met from the other side only.
+        """
+        two = (self.side == 1).any()
+        for i in np.flatnonzero(self.label != np.bincount(self.label).argmax()):
+            if self.ids[i] == self.own:  # the leader has met everyone
+                continue
+            ok = (self.label != self.label[i]) & (self.ids != self.own) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
+            if two:
+                ok &= self.side != self.side[i]
+            found = np.flatnonzero(ok)
+            found = found[(self.sig[found] != self.sig[i]).sum(axis=1) <= RADIUS]
+            if self.lower[i]:
+                found = np.array([j for j in found if self.lower[i].isdisjoint(self.lower[j])], np.int64)
+            if len(found):
+                yield i, found
+
+    def survivors(self) -> list:
+        """Rows with anyone near."""
+        kept = np.zeros(len(self.rows), bool)
+        for i, found in self.near():
+            kept[i] = True
+            kept[found] = True
+        return [self.rows[i] for i in np.flatnonzero(kept)]
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Confirmed links that join components, each joining once."""
+        hashes = [np.frombuffer(r[9], "<u8") for r in self.rows]
         lengths = np.array([len(h) for h in hashes])
         starts = np.concatenate(([0], np.cumsum(lengths)))
-        dense = np.unique(np.concatenate(hashes), return_inverse=True)[1].ravel()
+        dense = np.unique(np.concatenate(hashes), return_inverse=True)[1].ravel().astype(np.int32)
         flag = np.zeros(int(dense.max()) + 1 if len(dense) else 1, bool)
-        _, label = np.unique(comp, return_inverse=True)
-        label = label.ravel()
-        a, b = [], []
-        for i in left:
-            if not lengths[i] or ids[i] == own:  # the leader has met everyone
-                continue
-            ok = (label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & (ids[right] != own) & (lengths[right] > 0)
-            if right is left:
-                ok &= ids[right] > ids[i]
-            near = right[ok]
-            near = near[(sig[near] != sig[i]).sum(axis=1) <= RADIUS]
-            if lower[i]:
-                near = near[[lower[i].isdisjoint(lower[j]) for j in near]] if len(near) else near
-            for at in range(0, len(near), 64):
-                some = near[at : at + 64]
+        out, label = [], self.label
+        for i, found in self.near():
+            for at in range(0, len(found), 64):
+                some = found[at : at + 64]
                 some = some[label[some] != label[i]]
                 if not len(some):
                     continue
                 flag[dense[starts[i] : starts[i + 1]]] = True
-                found = flag[np.concatenate([dense[starts[j] : starts[j + 1]] for j in some])]
-                both = np.add.reduceat(found, np.concatenate(([0], np.cumsum(lengths[some])[:-1])), dtype=np.int64)
+                hit = flag[np.concatenate([dense[starts[j] : starts[j + 1]] for j in some])]
+                both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(lengths[some])[:-1])), dtype=np.int64)
                 flag[dense[starts[i] : starts[i + 1]]] = False
-                for j in some[100 * both >= percent * (lengths[i] + lengths[some] - both)]:
+                for j in some[100 * both >= self.percent * (lengths[i] + lengths[some] - both)]:
                     if label[j] != label[i]:
-                        a.append(int(ids[i]))
-                        b.append(int(ids[j]))
+                        out.append((int(self.ids[i]), int(self.ids[j])))
                         label[label == label[j]] = label[i]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        return out
+
+
+def _by_block(judge, schema: pa.Schema):
+    """Calls ``judge(rows)`` for each block pair of rows sorted by (leader, lo, hi), which are its first columns."""
 
     def run(batches):
         at, rows = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != at:
+                if row[:3] != at:
                     if len(rows) > 1:
-                        yield compare(rows)
-                    at, rows = row[0], []
+                        yield made(judge(rows))
+                    at, rows = row[:3], []
                 rows.append(row)
         if len(rows) > 1:
-            yield compare(rows)
+            yield made(judge(rows))
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -270,11 +294,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _classes_and_components(docs: DataFrame, *, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Described rows, and the component of each distinct set; both written out."""
-    described = checkpoint(describe(docs, key=key, text=text, words=words))
-    classes = described.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig"))
-    classes = checkpoint(classes)
+def _meetings(classes: DataFrame) -> DataFrame:
+    """(leader, id): each distinct set with the leader, in general the smallest member, of every bucket that it shares.
+
+    Keys go through one shuffle, in which hot buckets are salted: a sample of the sets finds
+    them (a bounded list, which misses only buckets too small to matter), and since any member
+    will do to meet the others, the smallest of the sample stands for the smallest of all.
+    """
     plans = chunk_plans()
 
     def keyed(batches):
@@ -285,34 +311,49 @@ def _classes_and_components(docs: DataFrame, *, key: str, text: str, words: int,
                     k = chunk_keys(sig[at : at + 1000], plans)
                     yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(np.array(batch.column(0).slice(at, 1000).to_pylist(), np.int64), k.shape[1]))], names=["k", "id"])
 
-    keys = classes.select("rep", "sig").mapInArrow(keyed, "k bigint, id bigint")
-    # a bucket of one node is no bucket; most go here, before anything is joined
-    leaders = keys.groupBy("k").agg(F.min("id").alias("leader"), F.max("id").alias("most"), F.count(F.lit(1)).alias("size")).where("leader <> most")
-    shared = checkpoint(keys.join(leaders.select("k", "leader", "size"), "k"))
-    met = checkpoint(shared.where("id <> leader").select("leader", "id").distinct())
+    def keys(rows):
+        return rows.select("rep", "sig").mapInArrow(tidy(keyed), "k bigint, id bigint")
+
+    seen = keys(classes.where(F.pmod(F.xxhash64("f1", F.lit(19)), F.lit(SAMPLED)) == 0)).groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("chosen"))
+    seen = checkpoint(seen)
+    total = seen.agg(F.sum("size").alias("total"))
+    # at most HOT_SHARE * len(plans) rows
+    hot = seen.where("size > 16").join(F.broadcast(total)).where(F.col("size") * HOT_SHARE * len(plans) > F.col("total")).select("k", "chosen")
+    salt = F.when(F.col("chosen").isNotNull(), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = keys(classes).join(F.broadcast(hot), "k", "left").select("k", "id", "chosen", salt.alias("salt"))
+    met = dealt.select("id", F.coalesce("chosen", F.min("id").over(Window.partitionBy("k", "salt"))).alias("leader"))
+    return met.where("id <> leader").select("leader", "id").distinct()
+
+
+def _classes_and_components(docs: DataFrame, *, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Described rows, and the component of each distinct set; both written out."""
+    described = checkpoint(describe(docs, key=key, text=text, words=words))
+    classes = described.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("sig").alias("sig"))
+    classes = checkpoint(classes)
+    met = checkpoint(_meetings(classes))
+    hot = checkpoint(hot_keys(met.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), "leader"))
+    hot_a = hot.withColumnRenamed("leader", "a")
     light = classes.select(F.col("rep").alias("id"), "n", "sig")
-    stars = checkpoint(_plausible(met.select(F.col("leader").alias("a"), F.col("id").alias("b")), light, percent))
-    sets = checkpoint(full_sets(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key=key, text=text, words=words))
-    first = checkpoint(connected_components(confirm(stars, sets, percent)))
+    stars = checkpoint(_plausible(met.select(F.col("leader").alias("a"), F.col("id").alias("b")), light, percent, hot_a))
+    sets = checkpoint(full_sets(met.select("id").union(met.select("leader")).distinct(), docs, key=key, text=text, words=words))
+    first = checkpoint(connected_components(confirm(stars, sets, percent, hot_a)))
 
     # what is left: leaders whose members are in more than one component
-    members = met.union(met.select("leader", "leader").distinct())
-    placed = checkpoint(members.join(first.withColumnRenamed("node", "id"), "id", "left").select("leader", "id", F.coalesce("component", "id").alias("comp")))
-    still = placed.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    # one leader may have a third of all rows: its members are spread over SALTS keys for the join
-    salted = still.select("leader", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    spread = placed.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    apart = checkpoint(spread.join(salted, ["leader", "salt"]).drop("salt"))
+    members = met.union(met.select("leader", "leader").distinct()).join(light, "id")
+    placed = checkpoint(members.join(first.withColumnRenamed("node", "id"), "id", "left").select("leader", "id", "n", "sig", F.coalesce("component", "id").alias("comp")))
+    still = placed.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("hashes")).where("lo <> hi and size > 2")
+    parts = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("hashes") / BLOCK_HASHES)).cast("int")
+    apart = checkpoint(hot_join(placed, still.select("leader", parts.alias("parts")), "leader", "id", hot))
     nodes = apart.groupBy("id").agg(F.collect_set("leader").alias("leaders"))  # one for each key of a signature at most
-    others = full_sets(nodes.select("id").join(sets, "id", "left_anti"), docs, key=key, text=text, words=words)
-    held = nodes.join(light, "id").join(sets.union(others), "id")
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
-    paired = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "leader", "id", "comp", (F.col("own") > F.col("other")).cast("int").alias("side")
+    paired = apart.join(nodes, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "n", "sig", "leaders"
     )
-    full = paired.join(held, "id").select("g", "leader", "id", "comp", "n", "sig", "s", "leaders", "side")
-    more = full.repartition("g").sortWithinPartitions("g").mapInArrow(_link_in_blocks(percent), "a bigint, b bigint")
+    block, shape = ["leader", "lo", "hi"], "leader bigint, lo int, hi int, side int, id bigint, comp bigint, n bigint, sig binary, leaders array<bigint>"
+    in_blocks = lambda rows: rows.repartition(*block).sortWithinPartitions(*block)
+    close = in_blocks(paired).mapInArrow(_by_block(lambda rows: _Block(rows, percent).survivors(), to_arrow_schema(paired.schema)), shape)
+    full = in_blocks(checkpoint(close).join(sets, "id").select(*paired.columns, "s"))
+    more = full.mapInArrow(_by_block(lambda rows: _Block(rows, percent).forest(), pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a bigint, b bigint")
     named = first.withColumnRenamed("node", "id")
     bridges = (
         more.join(named.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
@@ -328,7 +369,7 @@ def _classes_and_components(docs: DataFrame, *, key: str, text: str, words: int,
     return described, _one_id_one_component(described, checkpoint(final))
 
 
-def _plausible(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, light: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """Pairs (a, b) within the radius whose set sizes allow the similarity."""
 
     def near(batches):
@@ -337,8 +378,8 @@ def _plausible(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SYMBOLS) for i in (2, 3))
                 yield batch.select([0, 1]).filter(pa.array((x != y).sum(axis=1) <= RADIUS))
 
-    one = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x")), "a")
-    two = one.join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y")), "b")
+    one = pairs.join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y")), "b")
+    two = hot_join(one, light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x")), "a", "b", hot)
     return two.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "x", "y").mapInArrow(near, "a bigint, b bigint")
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import embedding_dedup, minhash, queries, sharding, topk
+from loomtext.llm import common, embedding_dedup, minhash, queries, sharding, topk
 from loomtext.llm.components import connected_components, union_find
 
 
@@ -80,6 +80,30 @@ def test_near_duplicates_are_those_of_brute_force(spark):
         assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+def test_hot_buckets_and_small_blocks_change_nothing(spark, monkeypatch):
+    texts = corpus()
+    for name, value in (("SAMPLED", 1), ("HOT_SHARE", 1 << 20), ("BLOCK", 40), ("BLOCK_HASHES", 4000)):
+        monkeypatch.setattr(minhash, name, value)
+    monkeypatch.setattr(common, "LEAST_HOT", 20)
+    monkeypatch.setattr(common, "HOT_SHARE", 1 << 20)
+    want = components(texts, near_pairs(word_sets(texts, 5)))
+    rows = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r["id"]: r["component_id"] for r in rows} == want
+
+
+def test_a_sieve_loses_nothing(spark):
+    rows, ids = spark.range(5000), spark.range(0, 5000, 7)
+    inside, outside = common.sieve(rows, ids, "id")
+    some, others = {r["id"] for r in inside.collect()}, {r["id"] for r in outside.collect()}
+    assert some >= {r["id"] for r in ids.collect()} and len(some) < 1000 and sorted(some | others) == list(range(5000)) and not some & others
+    assert common.sieve(rows, ids.limit(0), "id")[1].count() == 5000
+
+
+def test_copies_are_numbered(spark):
+    got = common.copies(spark.createDataFrame([("a", 1), ("b", 10_000)], "k string, n bigint"), "n", "at").groupBy("k").agg(F.count("*").alias("c"), F.countDistinct("at").alias("d"), F.max("at").alias("m"))
+    assert {(r["k"], r["c"], r["d"], r["m"]) for r in got.collect()} == {("a", 1, 1, 0), ("b", 10_000, 10_000, 9_999)}
+
+
 def test_signatures_within_the_radius_always_share_a_key():
     rng, plans = np.random.default_rng(7), minhash.chunk_plans()
     a = rng.integers(0, 1 << 16, (400, minhash.SYMBOLS)).astype("<u2")
