@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -183,6 +184,25 @@ def test_secrets_accounts_and_redaction():
     assert pii.find("a token of thanks = nothing") == {k: [] for k in pii.KINDS}
 
 
+def test_personal_data_takes_linear_time():
+    hostile = ["token=", "http://", "-eyJaaaaaaaa", "token=a", "http://u", "https://host/)", "a@", "+1(", "1.", "1 ", "-----BEGIN ", "account ", "iban DE", "sk-a", "x:eyJ.", "http:///u", "eyJaaaaaaaa.eyJ-"]
+    for piece in (*hostile, *("account" + " " * n for n in (200, 5000))):
+        text = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        pii.find(text)
+        assert time.process_time() - began < 12, piece  # a second or two; this machine may be slow
+
+
+def test_anchors_inside_a_run_are_seen():
+    said = lambda t: {k: [t[a:b] for a, b in v] for k, v in pii.find(t).items() if v}
+    assert said("token=aaaaaaaaatoken= abc12345")["secret"] == ["abc12345"]
+    assert said("http://a/http://me:pw1@host/x")["url"] == ["http://me:pw1@host/x"]
+    assert said("http://a/u/users/jo,")["url"] == ["http://a/u/users/jo"]
+    assert said("see http://a/http://b/users/jo.")["url"] == ["http://a/http://b/users/jo"]
+    assert said("x-eyJaaaaaaaa-eyJbbbbbbbb.eyJcccccccc.dddddddd")["secret"] == ["eyJaaaaaaaa-eyJbbbbbbbb.eyJcccccccc.dddddddd"]
+    assert said("eyJaaa-eyJbbbbbbbb.eyJcccccccc.dddddddd")["secret"] == ["eyJaaa-eyJbbbbbbbb.eyJcccccccc.dddddddd"]
+
+
 def test_personal_data_edges(spark, edges, nothing):
     rows = pii.find_documents(edges).collect()
     assert len(rows) == edges.count() and pii.find_documents(nothing).count() == 0
