@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomtext.llm.common import map_arrow, table
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|</[^>]*>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|</[^>]*>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -31,6 +32,9 @@ _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "legend", "summary"}
+#: What bounds the search for an open paragraph, and what may stand in a head that is not closed.
+_BOUNDS_P = frozenset("p button td th table article section div li".split())
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Tag -> tags that its start ends, as far as the tag that bounds the search.
 _ENDS = {
@@ -175,18 +179,70 @@ def _slug_of_heading(n: Node) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, with the places of each tag, of blocks and of what bounds a paragraph.
+
+    Each element is opened and closed once and every question is answered from the ends of
+    these lists, so unmatched tags cost nothing more.
+    """
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.bounds: list[int] = []
+
+    def push(self, n: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(n)
+        self.places.setdefault(n.tag, []).append(at)
+        if n.tag in _BLOCK:
+            self.blocks.append(at)
+        if n.tag in _BOUNDS_P:
+            self.bounds.append(at)
+
+    def close(self, at: int) -> None:
+        """Close the element at place ``at`` and all inside."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+        for kept in (self.blocks, self.bounds):
+            while kept and kept[-1] >= at:
+                kept.pop()
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of that tag; 0 if there is none."""
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def outermost(self, tags, after: int) -> int:
+        """Place of the outermost open element of those tags inside place ``after``; 0 if there is none."""
+        found = []
+        for t in tags:
+            own = self.places.get(t, ())
+            i = bisect_right(own, after)
+            found += own[i : i + 1]
+        return min(found, default=0)
+
+
 def parse(html: str) -> Node:
     """A tolerant tree; cut subtrees are marked ``skip`` and hold nothing."""
     root = Node("html", None, False)
-    at, open_node, place, size = 0, root, 0, len(html)
+    open_nodes = _Open(root)
+    stack = open_nodes.stack
+    at, place, size = 0, 0, len(html)
+    tags_end = html.rfind(">") + 1  # no tag ends later
     doubtful = False
 
     def text(a: int, b: int):
-        if b > a and not open_node.skip:
-            open_node.children.append(unescape(html[a:b]) if html.find("&", a, b) >= 0 else html[a:b])
+        if b <= a:
+            return
+        if stack[-1].tag == "head" and not html[a:b].isspace():  # text ends a head
+            open_nodes.close(open_nodes.last("head"))
+        if not stack[-1].skip:
+            stack[-1].children.append(unescape(html[a:b]) if html.find("&", a, b) >= 0 else html[a:b])
 
     while at < size:
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at, max(at, tags_end))
         if m is None:
             break
         text(place, m.start())
@@ -194,62 +250,43 @@ def parse(html: str) -> Node:
         tag = m.group(2)
         if tag is None:
             if m.group().startswith("<![CDATA["):
-                text(m.start() + 9, m.end() - 3)
+                text(m.start() + 9, m.end() - 3 * m.group().endswith("]]>"))
             continue
         tag = tag.lower()
         if m.group(1):
-            node = open_node
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                # an inline end tag never ends a block around it
-                step, crossed = open_node, False
-                while step is not node:
-                    crossed = crossed or step.tag in _BLOCK
-                    step = step.parent
-                if tag in _BLOCK or not crossed:
-                    open_node = node.parent
+            found = open_nodes.last(tag)
+            # an inline end tag never ends a block around it
+            if found and (tag in _BLOCK or not open_nodes.blocks or open_nodes.blocks[-1] < found):
+                open_nodes.close(found)
             continue
-        if tag in ("html", "body") and open_node is not root:
+        if (head := open_nodes.last("head")) and tag not in _IN_HEAD:
+            open_nodes.close(head)
+        if tag in ("html", "body") and len(stack) > 1:
             continue
-        if tag in _CLOSES_P:
-            node = open_node
-            while node is not root and node.tag not in ("p", "button", "td", "th", "table", "article", "section", "div", "li"):
-                node = node.parent
-            if node.tag == "p":
-                open_node = node.parent
+        if tag in _CLOSES_P and open_nodes.bounds and stack[open_nodes.bounds[-1]].tag == "p":
+            open_nodes.close(open_nodes.bounds[-1])
         if tag in _ENDS:
             ended, bounds = _ENDS[tag]
-            node, last = open_node, None
-            while node is not root and node.tag not in bounds:
-                if node.tag in ended:
-                    last = node
-                node = node.parent
-            if last is not None:
-                open_node = last.parent
-        if tag == "body":
-            while open_node is not root:
-                open_node = open_node.parent
+            if found := open_nodes.outermost(ended, max(map(open_nodes.last, bounds))):
+                open_nodes.close(found)
+        around = stack[-1]
         attributes = m.group(3)
         named = _attributes(attributes) if attributes else {}
-        inside = open_node
-        if tag == "header":
-            while inside is not root and inside.tag not in ("article", "main"):
-                inside = inside.parent
-        skip = open_node.skip or tag in _DROP or (tag == "header" and inside is root) or (bool(named) and _hidden(named))
-        node = Node(tag, open_node, skip)
-        if named and not skip:
-            node.named, node.slug = _named_chrome(tag, named)
-        if tag == "form" and not skip:
-            node.named = node.named or "form"
+        site_header = tag == "header" and not open_nodes.last("article") and not open_nodes.last("main")
+        node = Node(tag, around, around.skip or tag in _DROP or site_header or (bool(named) and _hidden(named)))
+        if not node.skip:
+            if named:
+                node.named, node.slug = _named_chrome(tag, named)
+            if tag == "form":
+                node.named = node.named or "form"
         doubtful = doubtful or bool(node.named)
-        if not open_node.skip:
-            open_node.children.append(node)
+        if not around.skip:
+            around.children.append(node)
         if tag in _RAW:
-            end = _RAW[tag].search(html, at)
+            end = _RAW[tag].search(html, at, max(at, tags_end))
             at = place = end.end() if end else size
         elif tag not in _VOID and not attributes.endswith("/"):
-            open_node = node
+            open_nodes.push(node)
     text(place, size)
     if doubtful:
         _cut_named(root)
@@ -334,23 +371,14 @@ def extract(html: str | None) -> str:
         path.append(n.density)
         n = n.parent
     threshold = min(path)
-    marked: set[int] = set()
-
-    def inside(n: Node) -> bool:
-        while n is not None:
-            if id(n) in marked:
-                return True
-            n = n.parent
-        return False
-
-    articles = [n for n in order if n.tag in ("article", "main")]
-    marked.add(id(best))
-    around, n = {"article": [], "main": []}, best
+    marked = {id(best)}
+    above, around, n = set(), {"article": [], "main": []}, best
     while n is not None:  # an article is taken whole; without one, main is
+        above.add(id(n))
         around.get(n.tag, []).append(n)
         n = n.parent
     marked.update(id(n) for n in around["article"] or around["main"])
-    if not any(_within(best, a) for a in articles):
+    if not any(id(n) in above for n in order if n.tag in ("article", "main")):
         # subtrees reached through nodes at or over the threshold each give their largest sum
         top: dict[int, Node] = {}
         for n in reversed(order):
@@ -361,18 +389,16 @@ def extract(html: str | None) -> str:
             if n.density >= threshold and n.chars:
                 marked.add(id(top[id(n)]))
                 stack += [c for c in n.children if isinstance(c, Node)]
-    picked = [n for n in order if id(n) in marked and (n.parent is None or not inside(n.parent))]
+    picked, covered = [], set()
+    for n in order:  # parents come first
+        if n.parent is not None and id(n.parent) in covered:
+            covered.add(id(n))
+        elif id(n) in marked:
+            covered.add(id(n))
+            picked.append(n)
     return "\n".join(_blocks(picked))
 
 
-def _within(n: Node, a: Node) -> bool:
-    while n is not None:
-        if n is a:
-            return True
-        n = n.parent
-    return False
-
-
 def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row a page: key, url, ``text``, ``n_chars`` (code points).  Repeated rows repeat; an empty table gives none; other columns are not read."""
     types = [pages.schema[c].dataType.simpleString() for c in (key, url)]

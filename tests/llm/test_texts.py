@@ -264,6 +264,73 @@ def test_names_cut_only_little_text_without_an_article():
         assert html_extract.extract(html).split("\n") == want, html[:80]
 
 
+def test_heads_forms_and_names_lose_no_article():
+    for html, want in [
+        (f"<html><head><title>t</title><meta charset=utf-8><h1>T</h1>{PROSE}", ["T", LINE]),
+        (f"<head><script>x</script><link href=a><body><nav>n</nav><div><h1>T</h1>{PROSE}</div>", ["T", LINE]),
+        (f"<head><title>t</title>Loose text first. {PROSE}", ["Loose text first.", LINE]),
+        (f"<body><form action=x><div><h1>T</h1>{PROSE * 3}</div></form></body>", ["T", *[LINE] * 3]),
+        (f"<body><div class='social-history'><h1>T</h1>{PROSE}</div></body>", ["T", LINE]),
+        (f"<article><div class='search-story related-reading'>{PROSE}</div>{PROSE}</article>", [LINE] * 2),
+    ]:
+        assert html_extract.extract(html).split("\n") == want, html[:80]
+
+
+def test_pages_take_linear_time():
+    for piece, end in [("<b>x", "</i>"), ("<b>", "<h1>x</h1>"), ("<b>", "<li>x"), ("<div>", "</span>"), ("<a", ""), ("<a", ">"), ("<![CDATA[", ""), ("<!--", ""), ("<p><td>", "<h2>y"), ("<script>", "</script "), ("<a b='", "\""), ("<article>", "</b>"), ("<ul><li>", "</p>"), ("&", "&amp")]:
+        html = piece * 40_000 + end * 40_000
+        began = time.process_time()
+        html_extract.extract(html)
+        assert time.process_time() - began < 15, (piece, end)
+
+
+def plain_density(n, body):
+    """Density of a node and of its text alone, by the written formula."""
+    def inside(x):
+        return [c for c in x.children if not isinstance(c, str)]
+
+    def every(x):
+        return [x, *(y for c in inside(x) for y in every(c))]
+
+    def chars(x):
+        return sum(len(c.strip()) if isinstance(c, str) else chars(c) for c in x.children)
+
+    def in_links(x):
+        return chars(x) if x.tag == "a" else sum(in_links(c) for c in inside(x))
+
+    def density(x):
+        c, t, lc, lt = chars(x), len(every(x)) - 1, in_links(x), sum(y.tag == "a" for y in every(x)[1:])
+        if not c:
+            return 0.0
+        base = np.log(c / max(1, c - lc) * lc + in_links(body) / max(1, chars(body)) * c + np.e)
+        ratio = max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))
+        if base > 1:
+            return c / max(1, t) * np.log(ratio) / np.log(max(base, 1 + 1e-9))
+        return c / max(1, t) * np.log(max(np.e, c * max(1, t)))
+
+    return density(n), sum(map(density, inside(n))) if inside(n) else density(n)
+
+
+def test_densities_are_those_of_plain_code():
+    rng = random.Random(13)
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "word " * rng.randrange(0, 30)
+        return "".join(rng.choice(["<div>{}</div>", "<p>{}</p>", "<a href=x>{}</a>", "<b>{}</b>", "{}"]).format(page(depth - 1)) for _ in range(rng.randrange(1, 4)))
+
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{page(5)}</body>")
+        order = html_extract._measure(root)
+        plain = [plain_density(n, root) for n in order]
+        assert np.allclose([(n.density, n.sum) for n in order], plain)
+        text = html_extract.extract(f"<body>{page(4)}</body>")
+        assert "<" not in text
+        if root.chars:
+            best = max(range(len(order)), key=lambda i: plain[i][1])
+            assert max(order, key=lambda n: n.sum) is order[best] or np.isclose(max(n.sum for n in order), plain[best][1])
+
+
 def test_main_without_an_article_is_taken_whole():
     sections = f"<h1>T</h1><section>{PROSE * 5}</section><section id=search><h2>Search</h2>{PROSE * 3}</section><ul><li>x</ul>"
     want = ["T", *[LINE] * 5, "Search", *[LINE] * 3, "x"]
