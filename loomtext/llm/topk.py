@@ -2,10 +2,11 @@
 
 Candidates are dealt to blocks; a block keeps one sorted list for each component.  A
 query reads its lists from the better end (by the sign of its own component) in
-growing steps and keeps, for each candidate, what has been read: the unread rest of a
+small steps and keeps, for each candidate, the sum of what has been read: the unread rest of a
 list can add at most its next value (upper bound) and at least its last one (lower
-bound).  Candidates whose upper bound is under the k-th score already certain drop
-out; when few are left, or the lists end, the scores of those are resolved.
+bound).  Candidates whose upper bound is under the k-th lower bound, or under the k-th score of
+another block, drop out; reading stops when no more than k are left or the lists end, and only
+the scores of those are resolved.
 """
 
 from __future__ import annotations
@@ -15,59 +16,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import checkpoint, table
+from loomtext.llm.common import checkpoint, table, tidy
 
 K = 5
 SCALE = 256
 #: Candidates of a block and queries of a chunk: the memory of a task, whatever the table.
 BLOCK = 8192
 CHUNK = 512
-_STEPS = (0.25, 0.5, 0.75, 0.875, 1.0)
+#: Steps in which a list is read: bounds are looked at after each.
+STEPS = 16
+_LARGEST = float(1 << 62)
 
 
 class Lists:
-    """Sorted lists of one block."""
+    """Sorted lists of one block, and each candidate's place in them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         columns = np.ascontiguousarray(vectors.T)
         self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(columns, self.order, axis=1).astype(np.float64)
+        self.place = np.empty(vectors.shape, np.int32)
+        np.put_along_axis(self.place.T, self.order, np.arange(len(ids), dtype=np.int32)[None, :], axis=1)
+        self.largest = np.abs(self.values).max(axis=1) if len(ids) else np.zeros(len(columns))
+        self.depth_read = 0
 
     def top(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
         """The k best (score, id), ties to the smaller id; scores under ``floor`` may be left out."""
         size = len(self.ids)
         q = query.astype(np.float64)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        worst = float(q[up] @ self.values[up, 0] + q[down] @ self.values[down, -1])
-        read, behind = np.zeros(size), np.zeros(size)
-        outside = self.ids == own
-        left = np.flatnonzero(~outside)
+        # sums of floats may be off by this much; integers under 2**53 are exact
+        slack = 1e-13 * float(np.abs(q) @ self.largest)
+        last = np.concatenate((self.values[up, 0] * q[up], self.values[down, -1] * q[down]))
+        read = np.zeros(size)
+        left = np.flatnonzero(self.ids != own)
         done = 0
-        for step in _STEPS if size > 4 * k else ():
-            depth = int(np.ceil(size * step))
+        for step in range(1, STEPS + 1):
+            if len(left) <= k:
+                break
+            depth = -(-size * step // STEPS)
+            if depth == done:
+                continue
             # the next part of each list, best values first
             places = np.concatenate((self.order[up, size - depth : size - done].ravel(), self.order[down, done:depth].ravel()))
             parts = np.concatenate(((self.values[up, size - depth : size - done] * q[up, None]).ravel(), (self.values[down, done:depth] * q[down, None]).ravel()))
             read += np.bincount(places, parts, size)
-            if depth == size:
-                break
             done = depth
-            # what is unread of a list lies between its next and its last value
-            ahead = np.concatenate((self.values[up, size - depth - 1] * q[up], self.values[down, depth] * q[down]))
-            last = np.concatenate((self.values[up, 0] * q[up], self.values[down, -1] * q[down]))
-            seen = np.concatenate((self.order[up, size - depth :], self.order[down, :depth])).ravel()
-            upper = read + ahead.sum() - np.bincount(seen, np.repeat(ahead, depth), size)
-            lower = read + worst - np.bincount(seen, np.repeat(last, depth), size)
-            lower[outside] = -np.inf
-            floor = max(floor, float(np.partition(lower, size - k)[size - k]))
-            # the leaders so far are resolved early: a certain k-th score is the better bar
-            lead = left[np.argpartition(upper[left], max(0, len(left) - 4 * k))[-4 * k :]]
-            if len(lead) >= k:
-                floor = max(floor, float(np.partition(self.vectors[lead] @ query, len(lead) - k)[len(lead) - k]))
-            left = left[upper[left] >= floor]
-            if len(left) <= max(8 * k, size // 8):
-                break
+            ahead = last if depth == size else np.concatenate((self.values[up, size - depth - 1] * q[up], self.values[down, depth] * q[down]))
+            # no upper bound is under the sum of the next values
+            if depth < size and ahead.sum() >= floor and floor > -np.inf:
+                continue
+            own_places = self.place[left]
+            unread = np.concatenate((own_places[:, up] < size - depth, own_places[:, down] >= depth), axis=1).astype(np.float64)
+            lower = read[left] + unread @ last
+            floor = max(floor, float(np.partition(lower, len(left) - k)[len(left) - k]) - slack)
+            left = left[read[left] + unread @ ahead + slack >= floor]
+        self.depth_read = done
         scores = self.vectors[left] @ query
         best = np.lexsort((self.ids[left], -scores))[:k]
         return [(int(scores[i]), int(self.ids[left[i]])) for i in best]
@@ -84,7 +89,7 @@ def _prepare(scale: int):
                 if np.isfinite(x).all():
                     ids.append(i)
                     dims.append(len(x))
-                    data.append(np.floor(scale * x).astype("<i8").tobytes())
+                    data.append(np.clip(np.floor(scale * x), -_LARGEST, _LARGEST).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], names=["id", "dim", "data"])
 
     return run
@@ -96,8 +101,8 @@ def _search(k: int):
     def answer(lists, rows):
         out: tuple[list, list, list] = ([], [], [])
         for row in rows:
-            for score, found in lists.top(np.frombuffer(row[4], "<i8"), row[2], k):
-                for o, v in zip(out, (row[2], found, score)):
+            for score, found in lists.top(np.frombuffer(row[4], "<i8"), row[3], k, -np.inf if row[5] is None else float(row[5])):
+                for o, v in zip(out, (row[3], found, score)):
                     o.append(v)
         return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], schema=schema)
 
@@ -107,15 +112,15 @@ def _search(k: int):
         for batch in batches:
             queries = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != at:
+                if row[:2] != at:
                     if queries:
                         yield answer(lists, queries)
-                    at, candidates, lists, queries = row[0], [], None, []
-                if row[1] == 0:
+                    at, candidates, lists, queries = row[:2], [], None, []
+                if row[2] == 0:
                     candidates.append(row)
                     continue
                 if lists is None and candidates:
-                    lists = Lists(np.array([c[2] for c in candidates], np.int64), np.frombuffer(b"".join(c[4] for c in candidates), "<i8").reshape(len(candidates), -1))
+                    lists = Lists(np.array([c[3] for c in candidates], np.int64), np.frombuffer(b"".join(c[4] for c in candidates), "<i8").reshape(len(candidates), -1))
                     candidates = []
                 if lists is not None:
                     queries.append(row)
@@ -134,20 +139,32 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id",
     Ties go to the smaller id.  Null vectors, those with null or non-finite components and
     null ids take no part, and vectors meet only those of their own length.  A row that is
     repeated is one candidate with that many places.  Fewer than k candidates: all of
-    them.  Empty tables: no rows.  Every block of candidates gets the queries once; only
-    k rows a query and block are shuffled on.
+    them.  Empty tables: no rows.  Scores are 64-bit integers; where components are so large that
+    one would not fit, it is not defined (components are cut at 2**62).  Other columns are not read.
+
+    Every block of candidates gets the queries once; only k rows a query and block are
+    shuffled on.  The first block of each length is searched before the others: its k-th scores
+    are floors that let the others stop reading earlier.
     """
     shape = "id bigint, dim int, data binary"
-    made = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInArrow(_prepare(scale), shape)
+    made = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInArrow(tidy(_prepare(scale)), shape)
     candidates = checkpoint(made(vectors).groupBy("id", "dim", "data").agg(F.count(F.lit(1)).alias("copies")))
     blocks = candidates.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     # a row for each vector length: no more than the longest vector has components, so it is broadcast
-    asked = made(queries).dropDuplicates(["id", "dim", "data"])
-    group = lambda block: F.xxhash64("dim", block)
-    dealt = candidates.join(F.broadcast(blocks), "dim").select(group(F.pmod(F.xxhash64("id", "data"), F.col("blocks")).cast("int")).alias("g"), F.lit(0).alias("kind"), "id", "dim", "data")
-    sent = asked.join(F.broadcast(blocks), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(group(F.col("block")).alias("g"), F.lit(1).alias("kind"), "id", "dim", "data")
-    both = dealt.union(sent).repartition("g").sortWithinPartitions("g", "kind")
-    found = both.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    blocks = F.broadcast(checkpoint(blocks))
+    asked = checkpoint(made(queries).dropDuplicates(["id", "dim", "data"]))
+    dealt = candidates.join(blocks, "dim").select("dim", F.pmod(F.xxhash64("id", "data"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "data", F.lit(None).cast("bigint").alias("floor"))
+
+    def search(sent, candidates):
+        rows = candidates.union(sent.select("dim", "block", F.lit(1).alias("kind"), "id", "data", "floor")).repartition("dim", "block").sortWithinPartitions("dim", "block", "kind")
+        return rows.mapInArrow(tidy(_search(k)), "query_id bigint, vec_id bigint, score bigint")
+
+    sent = asked.join(blocks, "dim")
+    first = checkpoint(search(sent.select("dim", F.lit(0).alias("block"), "id", "data", F.lit(None).cast("bigint").alias("floor")), dealt.where("block = 0")))
+    # an id of several query vectors has more rows, and no floor
+    floors = first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") == k).select("id", "floor")
+    rest = sent.where("blocks > 1").join(floors, "id", "left").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    found = first.union(search(rest, dealt.where("block > 0")))
     copies = candidates.groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 1").withColumnRenamed("id", "vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)

@@ -234,6 +234,21 @@ def test_top_k_is_that_of_brute_force(spark, monkeypatch):
     assert topk.top_k_search(df.limit(0), df).count() == 0 and topk.top_k_search(df, df.limit(0)).count() == 0
 
 
+def test_lists_are_read_no_further_than_the_bounds_need():
+    rng = np.random.default_rng(16)
+    vectors = rng.integers(-200, 200, (4000, 12))
+    vectors[:5] = 2000  # no outsider can reach these
+    lists = topk.Lists(np.arange(4000), vectors)
+    query = np.full(12, 300)
+    best = lists.top(query, -1, 5)
+    assert best == [(12 * 2000 * 300, i) for i in range(5)] and 0 < lists.depth_read <= 4000 // topk.STEPS
+    for q in rng.integers(-300, 300, (20, 12)):
+        want = sorted(((int(v @ q), -i) for i, v in enumerate(vectors) if i != 7), reverse=True)[:5]
+        for floor in (-np.inf, want[-1][0], want[0][0]):
+            got = lists.top(q, 7, 5, floor)
+            assert [g for g in got if g[0] >= floor] == [(s, -i) for s, i in want if s >= floor]
+
+
 def test_a_repeated_candidate_takes_its_places(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.5, 0.0])], "vec_id bigint, embedding array<double>")
     got = [tuple(r) for r in topk.top_k_search(df, df.where("vec_id = 1"), k=2).orderBy("rank").collect()]
