@@ -2,7 +2,7 @@
 
 A header name is anything but a colon and a value needs a byte, so text after the blank
 line that looks like more headers is read as such; the rest is the body, byte for byte.
-Version parts wrap at 256 and the status at 65536.
+Version parts wrap at 256 and the status at 65536; a number beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +25,15 @@ def _wrapped(digits: Column, size: int, kind: str) -> Column:
     return (digits.try_cast("decimal(38,0)") % size).cast(kind)
 
 
+def _fits(*digits: Column) -> Column:
+    """Whether numbers are within unsigned 64 bits."""
+    most = F.lit("18446744073709551615").cast("decimal(38,0)")
+    good = F.lit(True)
+    for d in digits:
+        good = good & F.coalesce(d.try_cast("decimal(38,0)") <= most, F.lit(False))
+    return good
+
+
 def _headers(block: Column) -> Column:
     return F.transform(
         F.regexp_extract_all(block, F.lit(rf"(?s){_HEADER}"), 0),
@@ -32,16 +41,17 @@ def _headers(block: Column) -> Column:
     )
 
 
-def _message(column: Column | str, pattern: str, binary: bool, expected: str, fields) -> Column:
+def _message(column: Column | str, pattern: str, binary: bool, expected: str, numbers: tuple[int, ...], fields) -> Column:
     given = as_column(column)
     # one character for each byte, so that a body of any bytes passes
     text = F.decode(given, "ISO-8859-1") if binary else given
     plain = (lambda c: F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")) if binary else (lambda c: c)
     raw = (lambda c: F.encode(c, "ISO-8859-1")) if binary else (lambda c: F.encode(c, "UTF-8"))
     group = lambda k: F.regexp_extract(text, pattern, k)
-    good = text.rlike(pattern)
+    matched, fits = text.rlike(pattern), _fits(*map(group, numbers))
+    good = matched & fits
     value = F.struct(*(c.alias(n) for n, c in fields(group, plain, raw)))
-    error = F.when(~good, error_column(FAILURE, expected))
+    error = F.when(~matched, error_column(FAILURE, expected)).when(~fits, error_column(FAILURE, "number out of range"))
     return F.when(text.isNotNull(), F.struct(good.alias("ok"), F.when(good, value).alias("val"), error.alias("error")))
 
 
@@ -53,7 +63,7 @@ def http_request(column: Column | str, *, binary: bool = False) -> Column:
         headers = F.transform(_headers(g(5)), lambda h: F.struct(plain(h["name"]).alias("name"), plain(h["value"]).alias("value")))
         return [("method", g(1)), ("uri", plain(g(2))), ("version", version), ("headers", headers), ("body", raw(g(6)))]
 
-    return _message(column, _REQUEST, binary, "expected an HTTP request", fields)
+    return _message(column, _REQUEST, binary, "expected an HTTP request", (3, 4), fields)
 
 
 def http_response(column: Column | str, *, binary: bool = False) -> Column:
@@ -64,4 +74,4 @@ def http_response(column: Column | str, *, binary: bool = False) -> Column:
         headers = F.transform(_headers(g(5)), lambda h: F.struct(plain(h["name"]).alias("name"), plain(h["value"]).alias("value")))
         return [("version", version), ("status_code", _wrapped(g(3), 65536, "int")), ("status", plain(g(4))), ("headers", headers), ("body", raw(g(6)))]
 
-    return _message(column, _RESPONSE, binary, "expected an HTTP response", fields)
+    return _message(column, _RESPONSE, binary, "expected an HTTP response", (1, 2, 3), fields)

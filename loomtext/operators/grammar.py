@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,6 +80,21 @@ class Regex:
         return F.transform(texts, lambda x: self.value(self.of(x))), valid
 
 
+OUT_OF_RANGE = "number out of range"
+
+
+def _aborted() -> tuple[Column, Column]:
+    return F.lit(None).cast("int"), F.lit(OUT_OF_RANGE)
+
+
+def _here(message: str) -> tuple[Column, Column]:
+    return F.lit(0), F.lit(message)
+
+
+def _either(condition: Column, one: tuple[Column, Column], other: tuple[Column, Column]) -> tuple[Column, Column]:
+    return tuple(F.when(condition, a).otherwise(b) for a, b in zip(one, other))
+
+
 def _and(a: Callable | None, b: Callable | None) -> Callable | None:
     if a is None or b is None:
         return a or b
@@ -103,6 +119,19 @@ class Grammar:
     def regex(self) -> Regex:
         raise NotRegular(type(self).__name__)
 
+    def fails(self, text: Column) -> Column:
+        """Whether the grammar does not match at the start of a text."""
+        r = self.regex()
+        pattern = f"(?s)\\A{r.pattern}"
+        good = text.rlike(pattern)
+        if r.valid is not None:
+            good = good & F.coalesce(r.valid(lambda k: F.regexp_extract(text, pattern, k)), F.lit(False))
+        return ~good
+
+    def locate(self, text: Column) -> tuple[Column, Column]:
+        """Of a text at whose start the grammar fails: the place (null: the parse was ended as a whole) and the message of ``match``."""
+        return _aborted()
+
     def first(self) -> str | None:
         """Content of a character class that every match starts with; None if unknown or empty matches exist."""
         return None
@@ -171,6 +200,9 @@ class Literal(Grammar):
     def match(self, s, i):
         return (self.text, i + len(self.text)) if s.startswith(self.text, i) else Fail(i, f"expected {self.text!r}")
 
+    def locate(self, text):
+        return _here(f"expected {self.text!r}")
+
     def regex(self):
         return Regex(quoted(self.text), 0, lambda g: F.lit(self.text))
 
@@ -199,6 +231,9 @@ class Chars(Grammar):
         m = self._compiled.match(s, i)
         return (m.group(), m.end()) if m else Fail(i, f"expected {self.expected}")
 
+    def locate(self, text):
+        return _here(f"expected {self.expected}")
+
     def regex(self):
         return Regex(f"({self.pattern})", 1, lambda g: g(1))
 
@@ -216,6 +251,9 @@ class Until(Grammar):
         at = s.find(self.stop, i)
         return (s[i:at], at) if at >= 0 else Fail(i, f"character {self.stop!r} not found")
 
+    def locate(self, text):
+        return _here(f"character {self.stop!r} not found")
+
     def regex(self):
         stop = quoted(self.stop)
         return Regex(f"([^{stop}]*+)(?={stop})", 1, lambda g: g(1), ahead=True)
@@ -245,9 +283,12 @@ class Number(Grammar):
             return r
         number = int(r[0]) if len(r[0]) < 4000 else U64_MOST + 1
         if number > U64_MOST:
-            raise Abort("number out of range")
+            raise Abort(OUT_OF_RANGE)
         return number, r[1]
 
+    def locate(self, text):
+        return _either(self.inner.fails(text), self.inner.locate(text), _aborted())
+
     def regex(self):
         number = lambda g: g(1).try_cast("decimal(38,0)")
         fits = lambda g: F.coalesce(number(g) <= F.lit(str(U64_MOST)).cast("decimal(38,0)"), F.lit(False))
@@ -277,6 +318,9 @@ class Never(Grammar):
     def match(self, s, i):
         return Fail(i, self.message)
 
+    def locate(self, text):
+        return _here(self.message)
+
     def regex(self):
         return Regex("(?!)", 0, lambda g: F.lit(None).cast(self.type))
 
@@ -300,6 +344,13 @@ class Choice(Grammar):
         far = max(failed, key=lambda f: f.at)
         return Fail(far.at, " or ".join(f.message for f in failed))
 
+    def locate(self, text):
+        places, messages = zip(*(p.locate(text) for p in self.parts))
+        ended = reduce(lambda a, b: a | b, [p.isNull() for p in places])
+        far = F.greatest(*places) if len(places) > 1 else places[0]
+        every = F.when(ended, F.lit(None).cast("int")).otherwise(far), F.when(ended, F.lit(OUT_OF_RANGE)).otherwise(F.concat_ws(" or ", *messages))
+        return _either(text.rlike(f"(?s)\\A{self.regex().pattern}"), _aborted(), every)
+
     def regex(self):
         taken, at, branches = [], 0, []
         for p in self.parts:
@@ -369,6 +420,10 @@ class Many(Grammar):
             out.append(r[0])
             i = r[1]
 
+    def locate(self, text):
+        # but for a number that ends the parse, only the first element of those wanted can fail
+        return _either(text.rlike(f"(?s)\\A{self.inner.regex().pattern}"), _aborted(), self.inner.locate(text)) if self.least else _aborted()
+
     def regex(self):
         r = self.inner.regex().alone()
         parts = lambda g: F.regexp_extract_all(g(1), F.lit(f"(?s){r.pattern}"), 0)
@@ -400,6 +455,9 @@ class SepBy(Grammar):
             out.append(r[0])
             i = r[1]
 
+    def locate(self, text):
+        return _either(text.rlike(f"(?s)\\A{self.inner.regex().pattern}"), _aborted(), self.inner.locate(text))
+
     def regex(self):
         p, sep = self.inner.regex().alone(), self.separator.regex().alone()
         more = Regex(f"{sep.pattern}{p.pattern}", sep.groups + p.groups, _shift(p.value, sep.groups), _shift(p.valid, sep.groups))
@@ -464,6 +522,20 @@ class Record(Grammar):
             i = r[1]
         return out, i
 
+    def locate(self, text):
+        """The first part that fails on what the parts before it leave."""
+        place, message, before = None, None, ""
+        for _, p in self.parts:
+            r = p.regex()
+            if not p.total or r.valid is not None:
+                after = F.regexp_replace(text, f"(?s)\\A{before}", "") if before else text
+                failed, (at, said) = p.fails(after), p.locate(after)
+                at = F.length(text) - F.length(after) + at
+                place = F.when(failed, at) if place is None else place.when(failed, at)
+                message = F.when(failed, said) if message is None else message.when(failed, said)
+            before += r.pattern if not isinstance(p, Const) else ""
+        return _here("") if place is None else (place, message)
+
     def regex(self):
         pattern, at, fields, valid, soft, ahead = "", 0, [], None, False, False
         for name, p in self.parts:
@@ -493,6 +565,9 @@ class Map(Grammar):
         r = self.inner.match(s, i)
         return r if isinstance(r, Fail) else (self.fn(r[0]), r[1])
 
+    def locate(self, text):
+        return self.inner.locate(text)
+
     def regex(self):
         if self.sql is None:
             raise NotRegular("a map without a column expression")
@@ -512,6 +587,9 @@ class Flatten(Map):
         r = super().match(s, i)
         return Fail(i, self.message) if not isinstance(r, Fail) and r[0] is None else r
 
+    def locate(self, text):
+        return _either(self.inner.fails(text), self.inner.locate(text), _here(self.message))
+
     def regex(self):
         r = super().regex()
         return Regex(r.pattern, r.groups, r.value, _and(r.valid, lambda g: r.value(g).isNotNull()), True, r.ahead)
@@ -591,6 +669,19 @@ def rest() -> Grammar:
 text = rest
 
 
+def utf8_text() -> Grammar:
+    """All the rest of a binary column (``parse_bytes``) as text; a failure where it is no UTF-8."""
+
+    def decoded(v):
+        try:
+            return v.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return None
+
+    sql = lambda c: F.try_validate_utf8(F.encode(c, "ISO-8859-1").cast("string"))
+    return rest().flatten(decoded, "string", sql, "the bytes are no UTF-8")
+
+
 def digit() -> Grammar:
     return Number(1)
 

@@ -50,15 +50,20 @@ def _sql(column: Column, grammar: Grammar, whole: bool) -> Column:
     group = lambda k: F.regexp_extract(column, pattern, k)
     found, left = column.rlike(f"(?s)\\A{r.pattern}"), group(r.groups + 1)
     valid = F.lit(True) if r.valid is None else F.coalesce(r.valid(group), F.lit(False))
-    before = F.substring(column, F.lit(1), F.length(column) - F.length(left))
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    col = F.length(F.substring_index(before, "\n", -1)) + 1
-    good = found & valid
+    bad = ~found | ~valid
+
+    def error_at(place: Column, kind: str, message) -> Column:
+        before = F.substring(column, F.lit(1), place)
+        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+        return error_column(kind, message, line=line, col=F.length(F.substring_index(before, "\n", -1)) + 1)
+
+    # looked for only where the parse failed
+    place, message = grammar.locate(column)
+    error = F.when(bad, error_at(F.coalesce(place, F.lit(0)), FAILURE, message))
+    good = ~bad
     if whole:
         good = good & (left == "")
-        error = F.when(~found | ~valid, error_column(FAILURE, "the grammar does not match")).when(left != "", error_column(INCOMPLETE, "input was left over", line=line, col=col))
-    else:
-        error = F.when(~found | ~valid, error_column(FAILURE, "the grammar does not match"))
+        error = error.when(left != "", error_at(F.length(column) - F.length(left), INCOMPLETE, "input was left over"))
     result = F.struct(good.alias("ok"), F.when(good, r.value(group)).alias("val"), F.when(found & valid, left).alias("rest"), error.alias("error"))
     return F.when(column.isNotNull(), result)
 

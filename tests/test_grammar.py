@@ -168,5 +168,32 @@ def test_both_engines_agree_on_random_grammars(spark):
         for r in df.select("t", *engines).collect():
             for i in range(2):
                 s, p = r[f"sql{i}"], r[f"python{i}"]
-                assert (s["ok"], s["val"], s["rest"]) == (p["ok"], p["val"], p["rest"]), (grammar.regex().pattern, r)
+                assert s == p, (grammar.regex().pattern, r)  # value, rest and error with its place and message
     assert compared > 12
+
+
+def test_errors_are_located_alike_in_both_engines(spark):
+    big = "9" * 25
+    even = g.digits().flatten(lambda n: n if n % 2 == 0 else None, "decimal(20,0)", lambda c: F.when(c % 2 == 0, c), "an odd number")
+    line = g.record().keep("n", even).skip(g.lit(";")).keep("w", g.alt(g.lit("up"), g.record().skip(g.lit("do")).keep("x", g.lit("wn")).map(lambda v: v["x"], "string", lambda c: c["x"]))).skip(g.lit("\n"))
+    grammars = [
+        (g.fail("boom"), ["x", ""]), (g.record().skip(g.lit("a")).skip(g.fail("stop")), ["ab", "b"]), (even, ["3", "4", "x", big]),
+        (g.record().keep("a", line).keep("b", line), ["2;up\n4;up\n", "2;up\n5;up\n", "2;up\n4;dorn\n", "2;up\n4;x", "1;up", "2:up", f"2;up\n{big};up", "", "2;up\n4;up\nmore"]),
+        (g.record().skip(g.take_until(":")).skip(g.lit(":")).keep("n", g.digits()), ["é\n:x", "none", ":1", f"a:{big}"]),
+        (g.digits().sep_by1(g.lit(",")), ["1,2", "x", "", f"1,{big}", "1,2,"]), (g.one("a-c").one_or_more(), ["d", "abz"]), (g.digits().sep_by(g.lit(" ")), [big, "1 2x"]),
+        (g.one_of([g.lit("one"), g.lit("two"), g.lit("three")]), ["four", "two"]), (g.digits().maybe(), [big, "x"]),
+    ]
+    for grammar, texts in grammars:
+        assert grammar.regular
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        engines = [parse("t", grammar, engine=e).alias(f"{e}{i}") for i, parse in enumerate((parse_column, parse_prefix)) for e in ("sql", "python")]
+        for r in df.select("t", *engines).collect():
+            for i in range(2):
+                assert r[f"sql{i}"] == r[f"python{i}"], r
+    assert one(spark, "x", g.fail("boom"))["error"].asDict() == {"kind": "ParsingFailure", "message": "boom", "line": 1, "col": 1, "record": None}
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.createDataFrame([(bytearray("é!".encode()),), (bytearray(b"\xff\xfe"),)], "b binary")
+    rows = [r["r"] for r in df.select(parse_bytes("b", g.utf8_text()).alias("r")).collect()]
+    assert [r["val"] for r in rows] == ["é!", None] and rows[1]["error"]["message"] == "the bytes are no UTF-8"
