@@ -146,3 +146,32 @@ def xml_decl(column: Column | str) -> Column:
     group = lambda k: F.regexp_extract(text, pattern, k)
     either = lambda a, b: F.when(group(a) != "", group(a)).when(group(b) != "", group(b))
     return F.when(text.rlike(pattern), F.struct((either(1, 2).try_cast("decimal(38,0)") % 256).cast("smallint").alias("version_minor"), either(3, 4).alias("encoding")))
+
+
+def nodes_dsl(nodes: list[dict]) -> str:
+    """A tree as nested calls: name, bracketed attributes, bracketed children, four blanks a level."""
+    boxed = lambda lines, pad: "[\n" + ",\n".join(lines) + f"\n{pad}]" if lines else "[]"
+    inside: dict[int | None, list[str]] = {}
+    for n in reversed(nodes):  # children come after their parent
+        pad = "    " * n["depth"]
+        if n["kind"] == "element":
+            given = [f'{pad}    {a["name"]} "{a["value"]}"' for a in n["attrs"] or ()]
+            line = f"{pad}{n['name']} {boxed(given, pad)} {boxed(inside.pop(n['node_id'], [])[::-1], pad)}"
+        else:
+            line = f'{pad}text "{n["text"]}"'
+        inside.setdefault(n["parent_id"], []).append(line)
+    return inside[nodes[0]["parent_id"]][-1]
+
+
+@lru_cache(maxsize=1)
+def _dsl():
+    def render(s: str) -> str | None:
+        nodes = parse_document(s)["nodes"]
+        return nodes_dsl(nodes) if nodes else None
+
+    return node_function(render, "string")
+
+
+def xml_dsl(column: Column | str) -> Column:
+    """The document's tree as text of nested calls; null where it fails."""
+    return _dsl()(as_column(column))

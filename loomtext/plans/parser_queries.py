@@ -138,12 +138,17 @@ def many_letters(spark, sf_dir):
     FROM orders GROUP BY o_custkey, o_orderpriority) GROUP BY o_custkey"""
 )
 def group_max(spark, sf_dir):
-    # each customer's orders as lines of numbers, one group a priority, groups parted by a blank line
-    lines = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.array_join(F.collect_list(F.col("o_orderkey").cast("string")), "\n").alias("one"))
-    texts = lines.groupBy("o_custkey").agg(F.array_join(F.collect_list("one"), "\n\n").alias("text"))
-    groups = parse_column("text", NUMBER_GROUPS)["val"]
-    sums = F.transform(groups, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, b: a + b.cast("bigint")))
-    return texts.select("o_custkey", F.array_max(sums).alias("best"))
+    # a customer's orders as lines of numbers, one group a priority led by its digit, groups parted by a blank line;
+    # a text has the orders of 1,000 consecutive keys, however many a customer has
+    keyed = table(spark, sf_dir, "orders").withColumn("part", F.floor(F.col("o_orderkey") / 1000))
+    joined = lambda c, by: F.array_join(F.collect_list(c), by)
+    lines = keyed.groupBy("o_custkey", "part", "o_orderpriority").agg(joined(F.col("o_orderkey").cast("string"), "\n").alias("keys"))
+    group = F.concat(F.substring("o_orderpriority", 1, 1), F.lit("\n"), F.col("keys"))
+    texts = lines.groupBy("o_custkey", "part").agg(joined(group, "\n\n").alias("text"))
+    groups = texts.select("o_custkey", F.explode(parse_column("text", NUMBER_GROUPS)["val"]).alias("g"))
+    total = F.aggregate("g", F.lit(0).cast("bigint"), lambda a, b: a + b.cast("bigint")) - F.get("g", F.lit(0)).cast("bigint")
+    sums = groups.groupBy("o_custkey", F.get("g", F.lit(0)).alias("rank")).agg(F.sum(total).alias("total"))
+    return sums.groupBy("o_custkey").agg(F.max("total").alias("best"))
 
 
 # CSV
@@ -242,8 +247,11 @@ def _region_yaml(spark, sf_dir) -> DataFrame:
 
 @query("SELECT n_regionkey AS r_regionkey, n_nationkey AS id, n_name AS name FROM nation")
 def yaml_nested(spark, sf_dir):
-    nodes = yaml.yaml_nodes(_region_yaml(spark, sf_dir), "text", "r_regionkey").where("depth = 3")
-    return nodes.groupBy("r_regionkey", "parent_id").agg(F.max("int_v").cast("int").alias("id"), F.max("str_v").alias("name")).select("r_regionkey", "id", "name")
+    parsed = _region_yaml(spark, sf_dir).select("r_regionkey", F.filter(yaml.yaml_parse("text")["nodes"], lambda n: n["depth"] == 3).alias("n"))
+    # the fields of an item stay beside each other in the array: no shuffle brings them together
+    field = lambda key: F.filter("n", lambda x: x["key"] == key)
+    pairs = F.zip_with(field("id"), field("name"), lambda i, n: F.struct(i["int_v"].cast("int").alias("id"), n["str_v"].alias("name")))
+    return parsed.select("r_regionkey", F.explode(pairs).alias("p")).select("r_regionkey", "p.id", "p.name")
 
 
 _SCALARS = {"null": "null", "~": "null", "True": "bool", "-12": "int", "+7": "int", "99999999999999999999": "error", "1.5e3": "float", "1.2.3": "error", ".inf": "string", "yes": "string", "0x1F": "string", "2024-01-01": "string"}
@@ -400,10 +408,11 @@ def md_links(spark, sf_dir):
 )
 def md_inline_marks(spark, sf_dir):
     text = F.concat(F.lit("**"), F.col("p_name"), F.lit("** and _"), F.col("p_brand"), F.lit("_, ~~"), F.col("p_type"), F.lit("~~ `"), F.col("p_size").cast("string"), F.lit("`"))
-    parsed = table(spark, sf_dir, "part").select("p_partkey", F.explode(markdown.md_parse(text, want="inlines")["inlines"]).alias("n"), F.lit(0).alias("z"))
-    top = parsed.where("n.depth = 0 and n.kind <> 'text'").select("p_partkey", "n.node_id", "n.kind", "n.text")
-    inner = parsed.where("n.depth = 1").select("p_partkey", F.col("n.parent_id").alias("node_id"), F.col("n.text").alias("inner"))
-    return top.join(inner, ["p_partkey", "node_id"], "left").select("p_partkey", "kind", F.coalesce("text", "inner").alias("text"))
+    nodes = table(spark, sf_dir, "part").select("p_partkey", markdown.md_parse(text, want="inlines")["inlines"].alias("n"))
+    marked = F.filter("n", lambda x: (x["depth"] == 0) & (x["kind"] != "text"))
+    inner = lambda x: F.get(F.filter("n", lambda y: (y["depth"] == 1) & (y["parent_id"] == x["node_id"])), F.lit(0))["text"]
+    rows = nodes.select("p_partkey", F.explode(F.transform(marked, lambda x: F.struct(x["kind"].alias("kind"), F.coalesce(x["text"], inner(x)).alias("text")))).alias("r"))
+    return rows.select("p_partkey", "r.kind", "r.text")
 
 
 @query(
