@@ -108,27 +108,41 @@ def _label(raw: str) -> str:
     return _LABEL_SPACE.sub(" ", raw.strip(_BLANK).translate(_LOWER)).strip(" \n") if raw else ""
 
 
-def _linked(s: str, at: int, label: str, refs: dict) -> tuple[tuple[str, str | None], int] | None:
+class _Closers:
+    """Nearest closing marks of one text; a mark that was found, or is known to be missing, is not looked for again."""
+
+    def __init__(self, s: str):
+        self.s, self.known = s, {}
+
+    def __call__(self, at: int, needle: str) -> int:
+        since, place = self.known.get(needle, (at + 1, -1))
+        if at < since or -1 < place < at:
+            place = _until(self.s, at, needle)
+            self.known[needle] = (at, place)
+        return place
+
+
+def _linked(s: str, at: int, label: str, refs: dict, until: _Closers) -> tuple[tuple[str, str | None], int] | None:
     """Target and end of what follows a label's bracket: (target), [], [label] or nothing."""
     if s.startswith("(", at):
-        end = _until(s, at + 1, ")")
+        end = until(at + 1, ")")
         return (_target(s[at + 1 : end]), end + 1) if end >= 0 else None
     if s.startswith("[]", at):
         key, end = label, at + 2
     elif s.startswith("[", at):
-        close = _until(s, at + 1, "]")
+        close = until(at + 1, "]")
         if close < 0:
             return None
         key, end = s[at + 1 : close], close + 1
     else:
         key, end = label, at
-    found = refs.get(_label(key))
+    found = refs.get(_label(key)) if refs else None
     return (found, end) if found else None
 
 
 def inlines(s: str, refs: dict | None = None) -> tuple[Inline, ...]:
     """Inline nodes of a text; what opens without closing is text."""
-    refs, out, text, at = refs or {}, [], [], 0
+    refs, out, text, at, until = refs or {}, [], [], 0, _Closers(s)
 
     def add(node: Inline):
         if kept := "".join(text):
@@ -144,8 +158,9 @@ def inlines(s: str, refs: dict | None = None) -> tuple[Inline, ...]:
         elif mark[0] == "\\":
             text.append(mark[1])
         elif mark in ("[", "!["):
-            close = _until(s, at, "]")
-            found = _linked(s, close + 1, s[at:close], refs) if close >= 0 else None
+            close = until(at, "]")
+            # only a reference needs the label
+            found = _linked(s, close + 1, s[at:close] if refs else "", refs, until) if close >= 0 else None
             if found is None:
                 # after a failed image the bracket may still open a link
                 text.append(mark[0])
@@ -168,7 +183,7 @@ def inlines(s: str, refs: dict | None = None) -> tuple[Inline, ...]:
                 add(Inline("html_inline", f"<{inside}>"))
             at = close + 1
         elif mark in _PAIRED or mark == "`":
-            close = _until(s, at, mark)
+            close = until(at, mark)
             if close < 0:
                 text.append(mark)
             elif mark == "`":
