@@ -25,8 +25,8 @@ ORACLE_SQL = None
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Whole rows beside their texts: columns of any name pass through an operator unharmed."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """Whole rows as one column: columns of any name pass through an operator unharmed."""
+    return docs.select(F.struct(*docs.columns).alias("row"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = fit_prototypes(docs, key="doc_id")
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    scored = predict_language(_rows(docs), prototypes, ["row"], n_grams=True)
+    scored = predict_language(_rows(docs), prototypes, ["row"], text="row.text", n_grams=True)
     unlike = F.col("score") < LEAST_COSINE - SPREAD / F.sqrt("n_grams")
     return scored.where((F.col("lang_pred") != UNDETERMINED) & ~F.coalesce(unlike, F.lit(False))).select("row.*")
 
@@ -52,7 +52,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     operator's own pass through.
     """
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)))
-    return score_documents(_rows(docs), model, ["row"]).where("predicted = 0").select("row.*")
+    return score_documents(_rows(docs), model, ["row"], text="row.text").where("predicted = 0").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

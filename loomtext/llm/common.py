@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,6 +169,18 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, spread: str, hot: Data
     return one.join(two, [key, "salt"]).drop("salt")
 
 
+def scored_rows(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, Callable]:
+    """(the columns to send to Python, a function that gives the kept columns and the texts of a batch).
+
+    ``text`` is a column, sent after the kept ones, or ``column.field`` of a kept struct, which then is sent once.
+    """
+    if "." in text:
+        column, field = text.split(".")
+        at = keep.index(column)
+        return docs.select(*keep), lambda batch: (batch.columns, batch.schema.names, pc.struct_field(batch.column(at), field).to_pylist())
+    return docs.select(*keep, F.col(text).alias("__text")), lambda batch: (batch.columns[:-1], batch.schema.names[:-1], batch.column(batch.num_columns - 1).to_pylist())
+
+
 def held_out(column: str, modulus: int, remainder: int):
     """crc32 of the id as text, modulo ``modulus``, equals ``remainder`` (a null id counts as the text '')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == remainder

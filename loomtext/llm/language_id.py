@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import held_out, table, tidy
+from loomtext.llm.common import held_out, scored_rows, table, tidy
 
 DIMENSION = 1024
 NGRAM = 3
@@ -147,6 +147,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], keep:
     ``und`` with score 0.  Whole texts are read.  Equal cosines go to the first
     language by name.  Other columns do not matter and may clash.
     """
+    picked, split = scored_rows(docs, keep, text)
     names = sorted(prototypes)
     matrix = np.array([prototypes[l] for l in names], np.float64) if names else np.zeros((0, DIMENSION))
     if len(names):
@@ -157,7 +158,8 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], keep:
 
         encoder = Encoder(matrix.shape[1])
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            kept, kept_names, texts = split(batch)
+            texts = [t or "" for t in texts]
             langs, scores, grams = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0] * len(texts)
             for at in range(0, len(texts) if names else 0, 64):
                 vectors, counts = encoder.bundle(texts[at : at + 64])
@@ -167,12 +169,11 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], keep:
                 for i in np.flatnonzero(counts):
                     langs[at + i], scores[at + i] = names[best[i]], float(min(1.0, max(0.0, cosines[i, best[i]])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(grams, pa.int64())] * n_grams],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", *["n_grams"] * n_grams],
+                [*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(grams, pa.int64())] * n_grams],
+                names=[*kept_names, "lang_pred", "score", *["n_grams"] * n_grams],
             )
 
-    picked = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return picked.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double" + ", n_grams bigint" * n_grams)
 
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import checkpoint, held_out, table, tidy
+from loomtext.llm.common import checkpoint, held_out, scored_rows, table, tidy
 
 ORDERS = (3, 4, 5)
 BITS = 19
@@ -217,6 +217,7 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], *, text: str
     Whole texts of any length are read; repeated rows score alike; an empty table gives no
     rows; other columns, also ones named like these, are not read.
     """
+    picked, split = scored_rows(docs, keep, text)
     weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
 
     def run(batches):
@@ -224,14 +225,14 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], *, text: str
 
         own = Model(weights.value, bias)
         for batch in batches:
-            scores = own.score([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+            kept, kept_names, texts = split(batch)
+            scores = own.score([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                names=[*batch.schema.names[:-1], "score", "predicted"],
+                [*kept, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
+                names=[*kept_names, "score", "predicted"],
             )
 
-    picked = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return picked.mapInArrow(tidy(run), f"{schema}, score double, predicted int")
 
 
