@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -123,6 +125,34 @@ def test_language_vectors_match_plain_code():
     assert np.array_equal(got[0], want) and list(counts) == [len(letters) - 2, 0, 0]
 
 
+def test_language_predictions_are_those_of_plain_code(spark, documents):
+    some = documents.head(60)
+    df = spark.createDataFrame([(int(i), t, l) for i, t, l in zip(some.doc_id, some.text, some.lang)], "doc_id bigint, text string, lang string")
+    letter = language_id.Encoder().letter
+
+    def vector(text):
+        text = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        out = np.zeros(language_id.DIMENSION)
+        for gram, n in Counter(text[i : i + 3] for i in range(len(text) - 2)).items():
+            v = np.ones(language_id.DIMENSION)
+            for place, c in enumerate(reversed(gram)):
+                v *= np.roll(letter(ord(c)), place)
+            out += n * v
+        return out
+
+    vectors = {i: vector(t) for i, t in zip(some.doc_id, some.text) if any(c.isalpha() for c in t)}
+    profiles = {l: sum(vectors[i] for i, x in zip(some.doc_id, some.lang) if x == l and i in vectors) for l in sorted(set(some.lang.dropna()))}
+    model = language_id.fit_prototypes(df, key="doc_id")
+    assert sorted(model) == sorted(profiles) and all(np.allclose(model[l], v) for l, v in profiles.items())
+    for r in language_id.predict_language(df, model, ["doc_id"]).collect():
+        if r["doc_id"] not in vectors:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        v = vectors[r["doc_id"]]
+        cosine = {l: v @ w / np.linalg.norm(v) / np.linalg.norm(w) for l, w in profiles.items()}
+        assert r["lang_pred"] == max(sorted(cosine), key=cosine.get) and abs(r["score"] - max(0, max(cosine.values()))) < 1e-4
+
+
 def test_language_edges(spark, edges, nothing):
     model = language_id.fit_prototypes(edges, key="doc_id")
     rows = language_id.predict_language(edges.select("doc_id", "text"), model, ["doc_id"]).collect()
@@ -145,6 +175,41 @@ def test_toxicity_on_held_out_documents(spark):
     assert ((rows.score >= 0.7).astype(int) == rows.predicted).all()
 
 
+def test_toxicity_training_is_that_of_plain_code(monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_TEXTS", 1)
+    monkeypatch.setattr(toxicity, "_PART", 50)
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice(["bad", "awful"] if k % 3 == 0 else ["calm", "tea"]) + rng.choice("xyz") for _ in range(6)) for k in range(30)]
+    y = np.array([float(k % 3 == 0) for k in range(30)])
+    rows = [toxicity.counted(t) for t in texts]
+    mass = [Counter(), Counter()]
+    for (f, c), label in zip(rows, y):
+        for a, n in zip(f.tolist(), c.tolist()):
+            mass[int(label)][a] += math.log2(1 + n)
+    total = [sum(m.values()) for m in mass]
+    share = lambda k, a: mass[k][a] / total[k] + toxicity.SMOOTH / total[1]
+    plain = {a: math.log(share(1, a) / share(0, a)) for a in set(mass[0]) | set(mass[1])}
+    plain = {a: r for a, r in plain.items() if abs(r) >= toxicity.LEAST_RATIO}
+    ratio = toxicity.log_count_ratio(rows, y)
+    assert set(np.flatnonzero(ratio)) == set(plain) and all(abs(ratio[a] - r) < 1e-9 for a, r in plain.items())
+    # the same descent on a dense table
+    used = sorted(plain)
+    x = np.array([[math.log2(1 + dict(zip(f.tolist(), c.tolist())).get(a, 0)) * plain[a] for a in used] for f, c in rows])
+    scale = 1 / math.sqrt(max(1.0, (x**2).sum(axis=1).mean()))
+    x *= scale
+    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w, velocity, b, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    for _ in range(150):
+        error = balance * (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        velocity, vb = 0.9 * velocity - 4.0 * (x.T @ error + 2e-4 * w), 0.9 * vb - error.sum()
+        w, b = w + velocity, b + vb
+    assert np.allclose(toxicity.fit_weights(rows, y)[used], w * [plain[a] for a in used] * scale, rtol=2e-3, atol=1e-4)
+    for _ in range(50):
+        margins, labels = np.array([rng.choice(range(8)) + rng.random() for _ in range(12)]), np.array([rng.random() < 0.5 for _ in range(12)], float)
+        errors = lambda cut: int(((margins >= cut) != (labels > 0)).sum())
+        assert errors(toxicity.best_cut(margins, labels)) == min(errors(c) for c in [-1, *(margins + 1e-9), 99])
+
+
 def test_toxicity_edges(spark, edges, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, 0), (None, 1), (6, None)], "doc_id bigint, toxic int")
     for given in (labels, labels.limit(0), labels.where("toxic = 1")):
