@@ -34,10 +34,10 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         columns = np.ascontiguousarray(vectors.T)
-        self.order = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(columns, axis=1, kind="stable")
         self.values = np.take_along_axis(columns, self.order, axis=1).astype(np.float64)
-        self.place = np.empty(vectors.shape, np.int32)
-        np.put_along_axis(self.place.T, self.order, np.arange(len(ids), dtype=np.int32)[None, :], axis=1)
+        self.place = np.empty(vectors.shape, np.uint16 if len(ids) < 1 << 16 else np.int32)
+        np.put_along_axis(self.place.T, self.order, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
         self.largest = np.abs(self.values).max(axis=1) if len(ids) else np.zeros(len(columns))
         self.depth_read = 0
 
@@ -46,32 +46,49 @@ class Lists:
         size = len(self.ids)
         q = query.astype(np.float64)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        # sums of floats may be off by this much; integers under 2**53 are exact
-        slack = 1e-13 * float(np.abs(q) @ self.largest)
+        # the bounds' single-precision sums may be off by this much
+        most = float(np.abs(q) @ self.largest)
+        slack, kind = 1.5e-7 * (len(q) + 2) * most + 1e-9, np.float32 if most < 1e30 else np.float64
         last = np.concatenate((self.values[up, 0] * q[up], self.values[down, -1] * q[down]))
         read = np.zeros(size)
         left = np.flatnonzero(self.ids != own)
+        depths = [-(-size * step // STEPS) for step in range(1, STEPS + 1)]
+        # the next values after each depth: no upper bound is under their sum
+        inside = np.array(depths[:-1], np.int64)
+        nexts = np.concatenate((self.values[np.ix_(up, size - inside - 1)] * q[up, None], self.values[np.ix_(down, inside)] * q[down, None]))
+        sums = [*nexts.sum(axis=0).tolist(), -np.inf]
+        signs = np.concatenate((up, down))
+
+        def bounds(rows, depth, ahead):
+            """(lower, upper) of some candidates when the lists are read to that depth."""
+            places = self.place[rows]
+            # unread places of a list: from low on, under high
+            low, high = np.zeros(len(q), places.dtype), np.zeros(len(q), places.dtype)
+            high[up], low[down], high[down] = size - depth, depth, size
+            rest = np.zeros((len(q), 2), kind)
+            rest[signs, 0], rest[signs, 1] = last, ahead
+            return (read[rows][:, None] + ((places >= low) & (places < high)).astype(kind) @ rest).T
+
         done = 0
-        for step in range(1, STEPS + 1):
+        for step, depth in enumerate(depths):
             if len(left) <= k:
                 break
-            depth = -(-size * step // STEPS)
-            if depth == done:
+            # bounds cannot tell anyone apart from the floor before this depth, so the parts up to it are read in one go
+            if depth == done or (sums[step] >= floor > -np.inf):
                 continue
             # the next part of each list, best values first
-            places = np.concatenate((self.order[up, size - depth : size - done].ravel(), self.order[down, done:depth].ravel()))
-            parts = np.concatenate(((self.values[up, size - depth : size - done] * q[up, None]).ravel(), (self.values[down, done:depth] * q[down, None]).ravel()))
-            read += np.bincount(places, parts, size)
+            for lists, part in ((up, slice(size - depth, size - done)), (down, slice(done, depth))):
+                for j in lists.tolist():
+                    read[self.order[j, part]] += self.values[j, part] * q[j]
             done = depth
-            ahead = last if depth == size else np.concatenate((self.values[up, size - depth - 1] * q[up], self.values[down, depth] * q[down]))
-            # no upper bound is under the sum of the next values
-            if depth < size and ahead.sum() >= floor and floor > -np.inf:
+            ahead = last if depth == size else nexts[:, step]
+            # looking at all costs as much as reading: where some tell that few would drop out, more is read first
+            some = left[::32]
+            if depth < size and len(some) > 32 and floor > -np.inf and (bounds(some, depth, ahead)[1] + slack >= floor).mean() > 0.6:
                 continue
-            own_places = self.place[left]
-            unread = np.concatenate((own_places[:, up] < size - depth, own_places[:, down] >= depth), axis=1).astype(np.float64)
-            lower = read[left] + unread @ last
+            lower, upper = bounds(left, depth, ahead)
             floor = max(floor, float(np.partition(lower, len(left) - k)[len(left) - k]) - slack)
-            left = left[read[left] + unread @ ahead + slack >= floor]
+            left = left[upper + slack >= floor]
         self.depth_read = done
         scores = self.vectors[left] @ query
         best = np.lexsort((self.ids[left], -scores))[:k]
