@@ -13,7 +13,7 @@ import __spark_entry__
 from loomtext.functions.registry import register
 from loomtext.operators import grammar as g
 from loomtext.operators import parse_column
-from loomtext.plans import parser_queries
+from loomtext.plans import more_queries, parser_queries  # noqa: F401  (registers its queries)
 from loomtext.sources import read_binary, read_parquet, read_texts, write_table
 from loomtext.streaming import parse_stream, sum_by_window
 
