@@ -62,3 +62,11 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         small = _to_minimum(large)
         edges = checkpoint(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+#: Common table expressions (to follow WITH RECURSIVE): from ``links`` (a, b), every node reached and the smallest one.
+COMPONENTS_SQL = """
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reached r JOIN both_ways e ON r.b = e.a),
+smallest AS (SELECT a AS node, least(a, min(b)) AS component FROM reached GROUP BY a)
+"""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import batches_of, checkpoint, resident, table, tidy
-from loomtext.llm.components import connected_components, union_find
+from loomtext.llm.components import COMPONENTS_SQL, connected_components, union_find
 
 #: Filters that a vector passes in each code, on average; recall by cosine and codebook size is in the README.
 FILTERS = 32
@@ -251,3 +251,20 @@ def _with_the_rest(rows: DataFrame, linked: DataFrame) -> DataFrame:
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_embeddings(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: All pairs of a label; for tables whose vec_id is unique.
+OP8_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
+), valid AS (
+  SELECT vec_id, label, len(e) AS dim, e FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM valid x JOIN valid y ON x.label = y.label AND x.dim = y.dim AND x.vec_id < y.vec_id
+  WHERE CASE WHEN x.dim = y.dim THEN list_cosine_similarity(x.e, y.e) >= 0.98 ELSE false END
+), {COMPONENTS_SQL},
+counted AS (SELECT a AS node, count(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(vec_id = coalesce(component, vec_id), true) AS kept
+FROM embeddings LEFT JOIN smallest ON smallest.node = vec_id LEFT JOIN counted ON counted.node = vec_id
+"""

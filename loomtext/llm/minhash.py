@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomtext.llm.common import HOT_SHARE, SALTS, batches_of, checkpoint, hot_join, hot_keys, sieve, table, tidy
-from loomtext.llm.components import connected_components
+from loomtext.llm.components import COMPONENTS_SQL, connected_components
 
 SYMBOLS = 64
 #: A pair at similarity 0.8 differs in 12.8 of 64 symbols on average (deviation 3.2) and in more than 27 with a chance of 1.4 in 100,000.
@@ -396,3 +396,24 @@ def _one_id_one_component(described: DataFrame, final: DataFrame) -> DataFrame:
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4).withColumnRenamed("id", "doc_id")
+
+
+#: Full sets of all documents: equal ones are one node, others are counted by the shingles they share.
+OP5_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1), lambda i: md5(array_to_string(w[i : i + 3], ' '))))) AS s FROM words
+), named AS (
+  SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 AND doc_id IS NOT NULL THEN min(doc_id) OVER (PARTITION BY s) END AS rep FROM sets
+), nodes AS (
+  SELECT rep, any_value(n) AS n, any_value(s) AS s FROM named WHERE rep IS NOT NULL GROUP BY rep, s
+), shared AS (
+  SELECT rep, n, unnest(s) AS g FROM nodes
+), links AS (
+  SELECT x.rep AS a, y.rep AS b FROM shared x JOIN shared y ON x.g = y.g AND x.rep < y.rep GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+  UNION SELECT doc_id, rep FROM named WHERE doc_id <> rep
+), {COMPONENTS_SQL}
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(doc_id = coalesce(component, doc_id), true) AS kept
+FROM named LEFT JOIN smallest ON node = doc_id
+"""

@@ -84,3 +84,25 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, key: str = "doc_id", t
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+#: The CRC is taken byte by byte with the table that its polynomial gives.
+OP9_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS steps
+), d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, encode(coalesce(text, '')) AS data FROM documents
+), sized AS (
+  SELECT doc_id, k, CAST(octet_length(data) + 16 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(data), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, crc
+), scored AS (
+  SELECT k, CAST(s AS INTEGER) AS s, md5(k || ':' || s) AS h FROM (SELECT DISTINCT k FROM d), range(41) AS shards(s)
+), best AS (
+  SELECT k, s AS shard, h, row_number() OVER (PARTITION BY k ORDER BY h DESC, s) AS place FROM scored WHERE s < 40
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(k || ':' || text_crc32 || ':' || size), doc_id) - 1 AS slot,
+  CASE WHEN one_more.h > best.h THEN 40 ELSE shard END AS grown_shard
+FROM sized JOIN best USING (k) JOIN scored AS one_more USING (k) WHERE best.place = 1 AND one_more.s = 40
+"""
