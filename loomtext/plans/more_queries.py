@@ -226,6 +226,32 @@ def yaml_debug_text(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", yaml.yaml_debug(text).alias("shown"))
 
 
+@query(
+    """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'string' WHEN 3 THEN 'bool' ELSE 'null' END AS kind, CASE WHEN p_size % 5 = 0 THEN CAST(-p_partkey AS BIGINT) END AS int_v,
+    CASE WHEN p_size % 5 = 1 THEN CAST(p_retailprice AS DOUBLE) END AS float_v, CASE WHEN p_size % 5 = 2 THEN p_name END AS str_v, CASE WHEN p_size % 5 = 3 THEN p_partkey % 2 = 0 END AS bool_v FROM part"""
+)
+def yaml_kinds(spark, sf_dir):
+    kind = F.col("p_size") % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit("-"), text_of("p_partkey"))).when(kind == 1, F.format_string("%.2f", F.col("p_retailprice").cast("double")))
+        .when(kind == 2, F.col("p_name")).when(kind == 3, (F.col("p_partkey") % 2 == 0).cast("string")).otherwise("~")
+    )
+    n = F.get(F.col("n"), F.lit(0))
+    rows = table(spark, sf_dir, "part").select("p_partkey", yaml.yaml_parse(text)["nodes"].alias("n"))
+    return rows.select("p_partkey", n["kind"].alias("kind"), n["int_v"].alias("int_v"), n["float_v"].alias("float_v"), n["str_v"].alias("str_v"), n["bool_v"].alias("bool_v"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size % 5 + 2 END AS line, CASE WHEN p_partkey % 3 <> 0 THEN p_size % 5 + 3 END AS nodes FROM part")
+def yaml_error_places(spark, sf_dir):
+    # keys k0, k1, ..., then one more: every third time a repeated one
+    n = (F.col("p_size") % 5).cast("int")
+    keys = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("k"), i.cast("string"), F.lit(": "), i.cast("string"), F.lit("\n")))
+    last = F.when(F.col("p_partkey") % 3 == 0, F.lit("k0: again")).otherwise("other: 1")
+    rows = table(spark, sf_dir, "part").select("p_partkey", yaml.yaml_parse(F.concat(F.array_join(keys, ""), last)).alias("y"))
+    y = F.col("y")
+    return rows.select("p_partkey", y["error"]["line"].cast("int").alias("line"), F.when(y["error"].isNull(), F.size(y["nodes"])).alias("nodes"))
+
+
 @query(
     """SELECT p_partkey, 'Blockquote([Paragraph([Text("' || p_name || ' "), Strong([Text("' || p_brand || '")])])])' AS quote, 'HtmlBlock("<div>' || p_size || '</div>' || chr(92) || 'n")' AS html,
     'ThematicBreak' AS rule, 'pic ' || p_size AS label, '/' || p_partkey AS href, CASE WHEN p_size % 2 = 0 THEN 'ti tle' END AS title,

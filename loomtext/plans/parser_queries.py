@@ -277,8 +277,9 @@ def yaml_errors(spark, sf_dir):
 
 # XML
 def _navs(spark, sf_dir) -> DataFrame:
-    nav = F.regexp_extract("html", r"(?s)(<nav>.*?</nav>)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", nav.alias("nav"))
+    """All menus of each page, as one element."""
+    found = F.regexp_extract_all("html", F.lit(r"(?s)(<nav>.*?</nav>)"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<navs>"), F.array_join(found, ""), F.lit("</navs>")).alias("nav"))
 
 
 def _nav_links(spark, sf_dir) -> DataFrame:
@@ -292,7 +293,7 @@ def _nav_links(spark, sf_dir) -> DataFrame:
 _NAV_SQL = r"""SELECT page_id, CAST(i AS INTEGER) AS ord, h[i + 1] AS href, l[i + 1] AS label FROM (
     SELECT page_id, h, l, unnest(range(len(h))) AS i FROM (
       SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)"', 1) AS h, regexp_extract_all(nav, '<a href="[^"]*">([^<]*)<', 1) AS l
-      FROM (SELECT page_id, regexp_extract(html, '<nav>.*?</nav>', 0, 's') AS nav FROM pages)))"""
+      FROM (SELECT page_id, array_to_string(regexp_extract_all(html, '<nav>.*?</nav>', 0, 's'), '') AS nav FROM pages)))"""
 
 
 @query(_NAV_SQL)
@@ -301,9 +302,9 @@ def xml_nav_links(spark, sf_dir):
 
 
 @query(
-    r"""SELECT page_id, name, depth, n FROM (SELECT page_id, len(regexp_extract_all(nav, '<a ')) AS a FROM
-    (SELECT page_id, regexp_extract(html, '<nav>.*?</nav>', 0, 's') AS nav FROM pages)),
-    LATERAL (VALUES ('nav', 0, 1), ('ul', 1, 1), ('li', 2, a), ('a', 3, a)) AS v(name, depth, n)"""
+    r"""SELECT page_id, name, depth, n FROM (SELECT page_id, len(navs) AS c, len(regexp_extract_all(array_to_string(navs, ''), '<a ')) AS a FROM
+    (SELECT page_id, regexp_extract_all(html, '<nav>.*?</nav>', 0, 's') AS navs FROM pages)),
+    LATERAL (VALUES ('navs', 0, 1), ('nav', 1, c), ('ul', 2, c), ('li', 3, a), ('a', 4, a)) AS v(name, depth, n) WHERE n > 0"""
 )
 def xml_depth(spark, sf_dir):
     nodes = xml.xml_nodes(_navs(spark, sf_dir), "nav", "page_id", kinds=("element",))
@@ -347,9 +348,14 @@ def md_headings(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, 1 AS blocks, 'paragraph' AS kind FROM documents")
+@query(
+    """SELECT doc_id, CAST(lines AS INTEGER) AS blocks, 'paragraph' AS kind FROM
+    (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda line: trim(line) <> '')) AS lines FROM documents) WHERE lines > 0"""
+)
 def md_blocks_count(spark, sf_dir):
-    nodes = markdown.md_blocks(table(spark, sf_dir, "documents"), "text", "doc_id", max_depth=0)
+    # a blank line after each line makes it a paragraph of its own
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    nodes = markdown.md_blocks(texts, "text", "doc_id", max_depth=0)
     return nodes.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("blocks"), F.min("kind").alias("kind"))
 
 
