@@ -604,12 +604,29 @@ class Bind(Grammar):
         return r if isinstance(r, Fail) else self.fn(r[0]).match(s, r[1])
 
 
+#: Grammars made by ``lazy``, by the identity of what makes them; of this process, never pickled.
+_MADE: dict[int, tuple[Callable[[], Grammar], Grammar]] = {}
+_MADE_MOST = 1024
+
+
+def _made(make: Callable[[], Grammar]) -> Grammar:
+    """What ``make`` gives: building it costs far more than a match, and every level of every text asks for it."""
+    held = _MADE.get(id(make))
+    if held is None:
+        grammar = make()
+        if len(_MADE) >= _MADE_MOST:  # makers that are new in every parse
+            _MADE.clear()
+        # the maker is held too, so its id stays its own
+        held = _MADE[id(make)] = make, grammar
+    return held[1]
+
+
 class Lazy(Grammar):
     def __init__(self, make: Callable[[], Grammar], type: T.DataType):
         self.make, self.type = make, type
 
     def match(self, s, i):
-        return self.make().match(s, i)
+        return _made(self.make).match(s, i)
 
 
 class Primitive(Grammar):
@@ -723,7 +740,7 @@ def map3(a: Grammar, b: Grammar, c: Grammar, fn: Callable, type: T.DataType | st
 
 
 def lazy(make: Callable[[], Grammar], type: T.DataType | str) -> Grammar:
-    """For recursion: ``make`` is called when the grammar is met in a parse."""
+    """For recursion: ``make`` is called when the grammar is first met in a parse, and what it gives is kept for other parses."""
     return Lazy(make, _type(type))
 
 

@@ -39,7 +39,11 @@ def _python(column: Column, grammar: Grammar, whole: bool) -> Column:
 
     @F.arrow_udf(kind)
     def parse(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else run(grammar, t, whole) for t in texts.to_pylist()], type=arrow)
+        # each text of a batch is parsed once, however often it stands there
+        places: dict[str | None, int] = {}
+        at = [places.setdefault(t, len(places)) for t in texts.to_pylist()]
+        parsed = pa.array([None if t is None else run(grammar, t, whole) for t in places], type=arrow)
+        return parsed if len(places) == len(at) else parsed.take(pa.array(at, type=pa.int32()))
 
     return parse(column)
 

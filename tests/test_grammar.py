@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import could_start, parse_bytes, parse_column, parse_prefix
 from loomtext.operators import grammar as g
+from loomtext.operators.parse import run
 from loomtext.result import DROPMALFORMED, FAILFAST, with_mode
 
 COLOR = g.one_of([g.lit("green").map(lambda v: "Green", "string", lambda c: F.lit("Green")), g.lit("red"), g.lit("blue")])
@@ -197,3 +198,54 @@ def test_bytes_that_are_no_text(spark):
     df = spark.createDataFrame([(bytearray("é!".encode()),), (bytearray(b"\xff\xfe"),)], "b binary")
     rows = [r["r"] for r in df.select(parse_bytes("b", g.utf8_text()).alias("r")).collect()]
     assert [r["val"] for r in rows] == ["é!", None] and rows[1]["error"]["message"] == "the bytes are no UTF-8"
+
+
+def test_a_lazy_grammar_is_built_once_and_not_for_every_level_of_every_text():
+    built = []
+
+    def nested():
+        built.append(1)
+        return g.alt(g.lit("x").map(lambda v: 0, "int"), g.lit("(").skip_then(g.lazy(nested, "int")).then_skip(g.lit(")")).map(lambda n: n + 1, "int"))
+
+    grammar = g.lazy(nested, "int")
+    for depth in [3, 0, 40, 7] * 5:
+        text = "(" * depth + "x" + ")" * depth
+        assert run(grammar, text, True)["val"] == depth
+        assert not run(grammar, "(" + text, True)["ok"] and run(grammar, text + ")", True)["error"]["col"] == 2 * depth + 2
+    assert len(built) == 1
+
+
+def test_lazy_makers_that_are_new_each_time_stay_apart_and_are_not_kept_without_bound():
+    # a maker's own depth decides what it makes, so one taken for another would show
+    def down(depth):
+        return g.lazy(lambda: g.lit(f"{depth};").skip_then(down(depth - 1)) if depth else g.lit("end"), "string")
+
+    for n in range(2 * g._MADE_MOST // 10):
+        text = "".join(f"{d};" for d in range(9, 0, -1)) + "end"
+        assert run(down(9), text, True)["val"] == "end" and not run(down(8), text, True)["ok"]
+        assert len(g._MADE) <= g._MADE_MOST
+
+
+def test_a_text_that_repeats_in_a_batch_is_parsed_once(spark):
+    calls = []
+
+    def count(text, at):
+        calls.append(text)
+        return (len(calls), len(text)) if text.startswith("a") else "no a"
+
+    texts = ["a1", "b", "a2", None, "a1", "b", None, "a2", "", "a1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    rows = [r["r"] for r in df.select(parse_column("t", g.primitive(count, "int")).alias("r")).collect()]
+    assert [r and r["val"] for r in rows] == [1, None, 3, None, 1, None, None, 3, None, 1]
+    assert [r is None for r in rows] == [t is None for t in texts]
+    assert [r["error"]["message"] for r, t in zip(rows, texts) if t in ("b", "")] == ["no a"] * 3
+
+    # values, rests and errors of each row are its own
+    words = g.lazy(lambda: g.chars("a-c").sep_by1(g.lit(",")), "array<string>")
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc,;\n") for _ in range(rng.randrange(4))) if rng.random() < 0.9 else None for _ in range(500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    for parse, whole in ((parse_column, True), (parse_prefix, False)):
+        for r in df.select("i", parse("t", words).alias("r")).collect():
+            t = texts[r["i"]]
+            assert (r["r"] and r["r"].asDict(True)) == (None if t is None else run(words, t, whole))
